@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm import packing
 
@@ -41,6 +47,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm import licenses
+
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm import langid
 
@@ -61,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op6_quality_rules, op7_simhash, op9_language_id, op10_decontamination, pipeline)
+    f.__name__: f for f in (op2_warc, op3_best_fit_packing, op6_quality_rules, op7_simhash, op8_license_scan, op9_language_id, op10_decontamination, pipeline)
 }
 
 #: Operator 6. Every threshold is a comparison of whole numbers, so both engines give the same verdict.
@@ -97,4 +109,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s
 """
 
-ORACLES: dict[str, str] = {"op6_quality_rules": OP6}
+#: Operator 2: what the archives must give back, from the pages alone.
+OP2 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": OP2, "op6_quality_rules": OP6}
