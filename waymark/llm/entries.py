@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm import token_counts
+
+    return token_counts.section_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm import warc
 
@@ -35,6 +41,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm import quality_model
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.fit(spark))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm import rules
 
@@ -73,7 +92,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op3_best_fit_packing, op6_quality_rules, op7_simhash, op8_license_scan, op9_language_id, op10_decontamination, pipeline)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_warc, op3_best_fit_packing, op4_quality_classifier, op5_html_text, op6_quality_rules, op7_simhash, op8_license_scan, op9_language_id, op10_decontamination,
+        pipeline,
+    )
 }
 
 #: Operator 6. Every threshold is a comparison of whole numbers, so both engines give the same verdict.
