@@ -11,7 +11,6 @@ single task's work.
 from __future__ import annotations
 
 import math
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.bpe import WordIds, encode
 from waymark.llm.common import map_rows, settle
 
 CAPACITY = 2048
@@ -33,65 +33,6 @@ BUCKET_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-# Token ids.
-
-
-class WordTokens:
-    """Token ids by a word BPE, as little-endian unsigned 32-bit bytes.
-
-    Such a tokenizer drops white space and never joins what white space parts, so the ids of a text are those of its
-    chunks in order. A worker keeps the chunks it has met, and the words in them, and encodes new words together.
-    """
-
-    #: str.split() takes these for white space, the tokenizer takes them for symbols.
-    SEPARATORS = "\x1c\x1d\x1e\x1f"
-
-    def __init__(self, path: str, most: int = 600_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.latin = regex.compile("[!-~\xa1-įı-ɏ]+").fullmatch
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, new: list[str]) -> None:
-        """Latin chunks without the tokenizer's own markers split into words as the tokenizer splits them; others are encoded as they are."""
-        plain = {c: self.split(c.lower()) for c in new if "<|" not in c and self.latin(c)}
-        words = list({w for parts in plain.values() for w in parts if w not in self.words})
-        self.words.update(zip(words, self.encoded(words), strict=True))
-        for chunk, parts in plain.items():
-            self.chunks[chunk] = b"".join([self.words[w] for w in parts])
-        other = [c for c in new if c not in plain]
-        self.chunks.update(zip(other, self.encoded(other), strict=True))
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each whole text."""
-        split = [None if any(c in t for c in self.SEPARATORS) else t.split() for t in texts]
-        if len(self.chunks) > self.most or len(self.words) > self.most:
-            self.chunks.clear()
-            self.words.clear()
-        met = self.chunks
-        if new := {c for parts in split if parts for c in parts if c not in met}:
-            self.learn(sorted(new))
-        return [b"".join([met[c] for c in parts]) if parts is not None else self.encoded([t])[0] for t, parts in zip(texts, split, strict=True)]
-
-
-_tokens: dict[str, WordTokens] = {}
-
-
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """The ids of whole texts by the word BPE at path; the worker process keeps what it has learned."""
-    if path not in _tokens:
-        _tokens[path] = WordTokens(path)
-    return _tokens[path].texts(texts)
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """A row for each piece of each document: its ids, then end_id, cut only if they exceed the capacity.
 
@@ -102,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], []]
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(texts, tokenizer), strict=True):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encode(WordIds, tokenizer, texts), strict=True):
             ids += end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 piece = ids[at : at + 4 * capacity]
@@ -294,4 +235,4 @@ def gaps(packed: DataFrame) -> DataFrame:
     return packed.withColumn("due", F.coalesce(F.lag(F.col("offset") + F.col("length")).over(order), F.lit(0))).where("due != offset").select("sequence_id", "offset", "due")
 
 
-__all__ = ["best_fit", "configuration_lp", "gaps", "lower_bound", "pack", "packing_plan", "pieces", "priced_configuration", "slots", "token_bytes"]
+__all__ = ["best_fit", "configuration_lp", "gaps", "lower_bound", "pack", "packing_plan", "pieces", "priced_configuration", "slots"]
