@@ -18,9 +18,9 @@ def valid(df: DataFrame, now: Column, expires: str = "expires_at") -> DataFrame:
 def fetch_queue(subjects: DataFrame, attempts: DataFrame, now: Column, limit: int, fresh_days: int = 30, back_off_hours: int = 48) -> DataFrame:
     """Subjects without a good fetch in the last days and without an attempt in the last hours; never tried first, then longest ago.
 
-    attempts: subject_id, at, ok. Both maxima come from one pass over the attempts.
+    attempts: subject_id, seen_at, ok. Both maxima come from one pass over the attempts.
     """
-    last = attempts.groupBy("subject_id").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("last_ok"), F.max("at").alias("last_try"))
+    last = attempts.groupBy("subject_id").agg(F.max(F.when(F.col("ok"), F.col("seen_at"))).alias("last_ok"), F.max("seen_at").alias("last_try"))
     due = subjects.select("subject_id").join(last, "subject_id", "left")
     stale = F.col("last_ok").isNull() | (F.col("last_ok") < now - F.expr(f"INTERVAL {fresh_days} DAYS"))
     rested = F.col("last_try").isNull() | (F.col("last_try") < now - F.expr(f"INTERVAL {back_off_hours} HOURS"))
@@ -29,12 +29,12 @@ def fetch_queue(subjects: DataFrame, attempts: DataFrame, now: Column, limit: in
 
 def pending_groups(artifacts: DataFrame, limit: int) -> DataFrame:
     """Subjects with pending artifacts, the longest waiting first, with how many."""
-    return artifacts.where("status = 'pending'").groupBy("subject_id").agg(F.min("at").alias("waiting_since"), F.count(F.lit(1)).alias("n")).orderBy("waiting_since", "subject_id").limit(limit)
+    return artifacts.where("status = 'pending'").groupBy("subject_id").agg(F.min("seen_at").alias("waiting_since"), F.count(F.lit(1)).alias("n")).orderBy("waiting_since", "subject_id").limit(limit)
 
 
 def latest_versions(artifacts: DataFrame) -> DataFrame:
     """The newest artifact of each subject and kind, of equal times the one with the greatest id."""
-    return latest_by(artifacts, ["subject_id", "kind"], ["at", "artifact_id"])
+    return latest_by(artifacts, ["subject_id", "kind"], ["seen_at", "artifact_id"])
 
 
 def ordered_inputs(artifacts: DataFrame, kinds: Sequence[str]) -> DataFrame:
@@ -46,8 +46,8 @@ def ordered_inputs(artifacts: DataFrame, kinds: Sequence[str]) -> DataFrame:
 
 def session_of(artifacts: DataFrame, anchor_kind: str, days: int = 1) -> DataFrame:
     """Artifacts within so many days of their subject's newest good one of a kind."""
-    anchor = artifacts.where((F.col("kind") == anchor_kind) & F.col("ok")).groupBy("subject_id").agg(F.max("at").alias("_anchor"))
-    return artifacts.join(anchor, "subject_id").where((F.col("at") >= F.col("_anchor") - F.expr(f"INTERVAL {days} DAYS")) & (F.col("at") <= F.col("_anchor") + F.expr(f"INTERVAL {days} DAYS"))).drop("_anchor")
+    anchor = artifacts.where((F.col("kind") == anchor_kind) & F.col("ok")).groupBy("subject_id").agg(F.max("seen_at").alias("_anchor"))
+    return artifacts.join(anchor, "subject_id").where((F.col("seen_at") >= F.col("_anchor") - F.expr(f"INTERVAL {days} DAYS")) & (F.col("seen_at") <= F.col("_anchor") + F.expr(f"INTERVAL {days} DAYS"))).drop("_anchor")
 
 
 def due_for_extraction(current: DataFrame, recorded: DataFrame, version: str) -> DataFrame:

@@ -100,7 +100,7 @@ SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey % 1500 AS place_id,
   CASE WHEN l_linenumber % 3 = 0 THEN 'weekday_care' ELSE 'sunday' END AS program_type, l_linenumber % 5 AS band
 FROM {lineitem} WHERE l_orderkey % 6 = 0""",
     "artifacts": """
-SELECT event_id AS artifact_id, user_id % 200 AS subject_id, event_type AS kind, ts AS at, event_id % 4 <> 0 AS ok,
+SELECT event_id AS artifact_id, user_id % 200 AS subject_id, event_type AS kind, ts AS seen_at, event_id % 4 <> 0 AS ok,
   CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'pending' ELSE 'ok' END AS status
 FROM {events}""",
 }
