@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once: a few MB of text, and one very long text costs no more than itself.
 ARROW_ROWS = 512
+#: Bytes of such a batch, so that rows with long texts make smaller ones.
+ARROW_BYTES = 8_000_000
 #: Bytes of text that one vectorised pass handles; a longer text makes a block of its own.
 BLOCK_BYTES = 1_000_000
 
@@ -142,6 +144,7 @@ def text_groups(texts: list[str], most: int = BLOCK_BYTES) -> Iterator[tuple[int
 def tuned(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a worker holds a few MB of text whatever the rows are like."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

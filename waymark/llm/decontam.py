@@ -30,14 +30,13 @@ _SPACE = np.uint32(32)
 @cache
 def _folded() -> tuple[np.ndarray, np.ndarray]:
     """For each code point its lower case, if that is one code point, with white space as a space; and what is white space."""
-    points = [chr(c) if not 0xD800 <= c < 0xE000 else "x" for c in range(0x110000)]
-    space = np.fromiter((c.isspace() for c in points), bool, len(points))
-    lower = np.arange(len(points), dtype=np.uint32)
-    for c in np.flatnonzero(np.fromiter((c.lower() != c for c in points), bool, len(points))):
-        low = points[c].lower()
-        if len(low) == 1:
+    space, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isspace():
+            space[c], lower[c] = True, _SPACE
+        elif (low := x.lower()) != x and len(low) == 1:
             lower[c] = ord(low)
-    lower[space] = _SPACE
     return lower, space
 
 

@@ -29,13 +29,14 @@ _SPACE = np.uint32(32)
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point, its lower case if that is one letter (else itself), and whether it is a letter."""
-    points = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
-    letter = np.fromiter((c.isalpha() for c in points), bool, len(points))
-    lower = np.arange(len(points), dtype=np.uint32)
-    for c in np.flatnonzero(letter):
-        low = points[c].lower()
-        if len(low) == 1:
-            lower[c] = ord(low)
+    letter, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isalpha():
+            letter[c] = True
+            low = x.lower()
+            if low != x and len(low) == 1:
+                lower[c] = ord(low)
     return lower, letter
 
 

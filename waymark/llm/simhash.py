@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import join_hot, map_rows, settle
+from waymark.llm.common import join_hot, map_rows, settle, text_groups
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 _LANES = np.uint64(0x0101010101010101)
@@ -27,7 +27,7 @@ _LANES = np.uint64(0x0101010101010101)
 def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each UTF-8 text as an unsigned 64-bit number; zero without words."""
     digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
+    hashes: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         words = text.lower().split()  # bytes: A-Z and the six ASCII white-space characters only
@@ -35,7 +35,7 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
             continue
         joined = b" ".join(words)
         if len(words) <= shingle:
-            hashes.append(digest(joined, SEED))
+            hashes.append(np.array([digest(joined, SEED)], dtype=np.uint64))
             counts[k] = 1
             continue
         ends = [0]
@@ -44,10 +44,10 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
             at += 1 + len(w)
             ends.append(at)
         # The shingle of words i..i+2 lies between the end of word i-1 (and a space) and the end of word i+2.
-        hashes.append(digest(joined[: ends[shingle]], SEED))
-        hashes += [digest(joined[a + 1 : b], SEED) for a, b in zip(ends[1:-shingle], ends[shingle + 1 :], strict=True)]
+        ends[0] = -1
         counts[k] = len(words) - shingle + 1
-    return _majority(np.array(hashes, dtype=np.uint64), counts)
+        hashes.append(np.fromiter((digest(joined[a + 1 : b], SEED) for a, b in zip(ends[:-shingle], ends[shingle:], strict=True)), np.uint64, int(counts[k])))
+    return _majority(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts)
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -75,7 +75,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist()
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(texts).view(np.int64))], ["doc_id", "fingerprint"])
+        found = np.concatenate([fingerprints_of(texts[i:j]) for i, j in text_groups(texts)])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
 
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, fingerprint long")
 
@@ -101,7 +102,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node points to its smallest neighbour if that is smaller than itself; edges move to what their
     ends point to and loops go, until none is left. Minima are pre-aggregated before each shuffle, so a node with very
-    many neighbours is no task's burden.
+    many neighbours is no task's burden. Nodes are hashes: along a chain, falling runs are short, and so are the rounds.
     """
     edges = settle(edges.select("a", "b").where("a != b"))
     label = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
@@ -145,7 +146,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     named = settle(_with_components(rows).where("doc_id is not null"))
     ids = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
     gone = ids.where("not first").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     if ids.where("n > 1 and first").isEmpty():
         return kept
     first = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
