@@ -63,21 +63,32 @@ def merged_duplicates(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the smallest node that can be reached, for every node of the edges (a, b).
 
-    In each round nodes point to their smallest neighbour and edges move to where their ends point; loops go. A few
-    rounds for components of any length; each is written to the checkpoint folder.
+    In each round nodes point to their smallest neighbour, pointers are followed to their ends by doubling, and edges
+    move to where their ends point; loops go. A chain of n nodes in order takes one round of log n doublings. What a
+    round finds is written to the checkpoint folder.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     label = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     edges = _kept(edges.where("a != b"))
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = _kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("to")))
+        step = _followed(_kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("to"))))
         moved = edges.join(step.select(F.col("at").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("at").alias("b"), F.col("to").alias("y")), "b")
         edges = _kept(moved.where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
         label = _kept(label.join(step, label.root == step["at"], "left").select("node", F.coalesce("to", "root").alias("root")))
     return label
 
 
+def _followed(step: DataFrame) -> DataFrame:
+    """Pointers (at, to), none of which rises, each to the end of its path."""
+    while True:
+        hop = step.select(F.col("at").alias("to"), F.col("to").alias("then"))
+        longer = _kept(step.join(hop, "to").select("at", "to", "then"))
+        step = longer.select("at", F.col("then").alias("to"))
+        if longer.where("to != then").isEmpty():
+            return step
+
+
 def _kept(df: DataFrame) -> DataFrame:
     from waymark.sources.store import checkpointed
 

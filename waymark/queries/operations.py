@@ -141,11 +141,11 @@ def due_set_diff(t: Tables) -> DataFrame:
 @query(f"""
 WITH l AS (SELECT subject_id, max(seen_at) FILTER (WHERE ok) AS last_ok, max(seen_at) AS last_try FROM {{artifacts}} GROUP BY subject_id)
 SELECT c_custkey AS subject_id, last_ok, last_try FROM {{customer}} LEFT JOIN l ON c_custkey = l.subject_id
-WHERE (last_ok IS NULL OR last_ok < {_NOW} - INTERVAL 2 DAYS) AND (last_try IS NULL OR last_try < {_NOW} - INTERVAL 24 HOURS) AND c_custkey < 400
+WHERE (last_ok IS NULL OR last_ok < {_NOW} - INTERVAL 2 DAYS) AND (last_try IS NULL OR last_try < {_NOW} - INTERVAL 24 HOURS)
 ORDER BY last_try ASC NULLS FIRST, subject_id LIMIT 260""")
 def fetch_queue(t: Tables) -> DataFrame:
     """What to fetch next."""
-    subjects = t.customer.where("c_custkey < 400").select(F.col("c_custkey").alias("subject_id"))
+    subjects = t.customer.select(F.col("c_custkey").alias("subject_id"))
     return queues.fetch_queue(subjects, t.artifacts, _now(), 260, 2, 24)
 
 
@@ -198,7 +198,7 @@ def enrichment_order(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT event_id, user_id, event_type, ts FROM {events} WHERE event_id % 7 = 0),
+WITH c AS (SELECT event_id, user_id, event_type, ts FROM {events}),
 h AS (SELECT user_id, event_type, ts FROM {events} WHERE event_type IN ('signup', 'purchase')),
 l AS (SELECT c.event_id, arg_max(h.event_type, h.ts) AS v, max(h.ts) AS seen_at FROM c JOIN h ON c.user_id = h.user_id AND h.ts <= c.ts WHERE c.event_type IN ('error', 'click') GROUP BY c.event_id)
 SELECT event_id, CASE WHEN event_type IN ('error', 'click') AND v = 'signup' AND ts <= seen_at + INTERVAL 3 DAYS THEN 'verified' ELSE CASE event_type WHEN 'signup' THEN 'verified' ELSE event_type END END AS final,
@@ -207,7 +207,7 @@ FROM c LEFT JOIN l USING (event_id)""")
 def carry_over(t: Tables) -> DataFrame:
     """A check that failed for a passing reason keeps the last verdict."""
     named = F.when(F.col("event_type") == "signup", "verified").otherwise(F.col("event_type")).alias("verdict")
-    checks = t.events.where("event_id % 7 = 0").select("event_id", "user_id", named, F.col("ts").alias("checked_at"))
+    checks = t.events.select("event_id", "user_id", named, F.col("ts").alias("checked_at"))
     history = t.events.where("event_type in ('signup', 'purchase')").select("user_id", named, F.col("ts").alias("checked_at"))
     return merging.carried_over(checks, history, ["user_id"], ["error", "click"], 3).select("event_id", "final", "carried_over")
 
@@ -231,11 +231,11 @@ def union_distinct(t: Tables) -> DataFrame:
 
 
 @query("""
-(SELECT 'removed' AS change, k FROM (SELECT s_nationkey AS k FROM {supplier} EXCEPT ALL SELECT c_nationkey FROM {customer} WHERE c_custkey < 60)) UNION ALL
-(SELECT 'added', k FROM (SELECT c_nationkey AS k FROM {customer} WHERE c_custkey < 60 EXCEPT ALL SELECT s_nationkey FROM {supplier}))""")
+(SELECT 'removed' AS change, k FROM (SELECT s_nationkey AS k FROM {supplier} EXCEPT ALL SELECT c_nationkey FROM {customer})) UNION ALL
+(SELECT 'added', k FROM (SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}))""")
 def multiset_diff(t: Tables) -> DataFrame:
     """Rows that went and came, as often as they did."""
-    return matching.multiset_delta(t.supplier.select(F.col("s_nationkey").alias("k")), t.customer.where("c_custkey < 60").select(F.col("c_nationkey").alias("k")))
+    return matching.multiset_delta(t.supplier.select(F.col("s_nationkey").alias("k")), t.customer.select(F.col("c_nationkey").alias("k")))
 
 
 @query("""
@@ -285,20 +285,20 @@ def fuzzy_dedup(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1] * 200 AS x, embedding[2] * 200 AS y FROM {embeddings} WHERE vec_id < 300),
+WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1] * 200 AS x, embedding[2] * 200 AS y FROM {embeddings}),
 e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) < 3 AND abs(a.y - b.y) < 3),
 r(id, root) AS (SELECT id, id FROM p UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a)
 SELECT id, min(root) AS "group" FROM r GROUP BY id""")
 def grid_components(t: Tables) -> DataFrame:
     """Points chained by nearness."""
-    p = t.embeddings.where("vec_id < 300").select(F.col("vec_id").alias("id"), (F.col("embedding")[0] * 200).alias("x"), (F.col("embedding")[1] * 200).alias("y"))
+    p = t.embeddings.select(F.col("vec_id").alias("id"), (F.col("embedding")[0] * 200).alias("x"), (F.col("embedding")[1] * 200).alias("y"))
     return matching.proximity_groups(p, 3.0)
 
 
-@query("SELECT place_id FROM {places} WHERE place_id % 40 = 7 EXCEPT SELECT place_id FROM {reviews}")
+@query("SELECT place_id FROM {places} EXCEPT SELECT place_id FROM {reviews}")
 def settled_pending(t: Tables) -> DataFrame:
     """What no ledger has."""
-    return matching.settled_and_pending(t.places.where("place_id % 40 = 7").select("place_id"), t.reviews.select("place_id"), ["place_id"])[1]
+    return matching.settled_and_pending(t.places.select("place_id"), t.reviews.select("place_id"), ["place_id"])[1]
 
 
 @query("""
@@ -432,11 +432,10 @@ def geocode_classes(t: Tables) -> DataFrame:
     return quality.classified_geocodes(rows).select("geo_id", "status")
 
 
-@query("SELECT o_orderkey % 1000 AS k, CASE WHEN min(o_orderkey) < 200 THEN 'missing' ELSE 'repeated' END AS problem FROM {orders} WHERE o_orderkey < 200 GROUP BY 1")
+@query("SELECT c_custkey AS k, CASE WHEN count(o_custkey) = 0 THEN 'missing' ELSE 'repeated' END AS problem FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY 1 HAVING count(o_custkey) <> 1")
 def returned_once(t: Tables) -> DataFrame:
     """What didn't come back exactly once (Q15)."""
-    expected = t.orders.where("o_orderkey < 400").select(F.col("o_orderkey").alias("k"))
-    return quality.returned_once(expected, expected.where("k >= 200"), "k")
+    return quality.returned_once(t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("SELECT count(*) AS rows, count(*) = count(DISTINCT o_orderkey) AS unique_keys FROM {orders}")
