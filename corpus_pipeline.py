@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontam, langid, packing, rules, simhash
+from waymark.llm import decontam, langid, near_copies, packing, rules
 from waymark.llm.common import shared_folder
 from waymark.llm.entries import tokenizer
 
@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """The document with the smallest id of each group of near copies: five-word shingles of Jaccard similarity 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

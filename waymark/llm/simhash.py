@@ -121,12 +121,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows and ids stay and share a component if their fingerprints do; rows without an id get their
     component's, which is null only if no row of it has an id. An empty table gives no rows.
     """
-    return _with_components(settle(fingerprints(docs)))
+    return with_components(settle(fingerprints(docs)))
 
 
-def _with_components(rows: DataFrame) -> DataFrame:
+def with_components(rows: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """near_duplicates() of rows of doc_id and fingerprint, over the edges (a, b) between fingerprints or else their links."""
     groups = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
-    label = components(links(groups.select(F.col("fingerprint").alias("fp"))))
+    label = components(links(groups.select(F.col("fingerprint").alias("fp"))) if edges is None else edges)
     joined = groups.join(label, groups.fingerprint == label.node, "left")
     linked = settle(joined.where("root is not null").select("fingerprint", "n", "root", "least_id"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -142,8 +143,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without an id can't be told apart by one: they stay. A row repeated with its id and text stays once.
     """
-    rows = settle(fingerprints(docs))
-    named = settle(_with_components(rows).where("doc_id is not null"))
+    return first_of_each(docs, near_duplicates(docs))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """one_of_each() of docs by the doc_id and component_id of every row."""
+    named = settle(found.where("doc_id is not null"))
     ids = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
     gone = ids.where("not first").select(F.col("doc_id").alias("_gone"))
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
