@@ -32,18 +32,22 @@ def any_key_join(left: DataFrame, right: DataFrame, on: str, pairs: Sequence[tup
     return met.withColumn("matched_on", label).where("matched_on is not null")
 
 
-def fuzzy_pairs(df: DataFrame, block: Sequence[str], name: str = "name", key: str = "place_id", least: float = 88.0, most_in_block: int = 200) -> DataFrame:
+def fuzzy_pairs(df: DataFrame, block: Sequence[str], name: str = "name", key: str = "place_id", least: float = 88.0, most_in_block: int | None = None) -> DataFrame:
     """Pairs within a block whose names score at least so much by sorted words, with the one to keep.
 
-    A block is its columns and the name's first letter; those of one row, or of more than `most_in_block`, are left out
-    as the rule says, before anything is paired. The row with more evidence (`weight`) is kept, of equals the earlier.
+    A block is its columns and the name's first letter. With `most_in_block`, blocks of more rows are left out, as the
+    original does with 200. Names whose lengths alone keep them below the score aren't compared. The row with more evidence (`weight`) is kept, of equals the earlier.
     """
     rows = df.withColumn("_letter", F.lower(F.substring(F.btrim(name), 1, 1)))
     keys = [*block, "_letter"]
-    sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(2, most_in_block))
-    rows = rows.join(sizes, list(block)).select(*keys, F.col(key).alias("id"), F.col(name).alias("name"), "weight")
+    if most_in_block is not None:
+        sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most_in_block)
+        rows = rows.join(sizes, list(block))
+    rows = rows.withColumn("_length", F.char_length(F.array_join(F.filter(F.split(F.lower(name), r"\s+"), lambda w: w != ""), " "))).select(*keys, F.col(key).alias("id"), F.col(name).alias("name"), "weight", "_length")
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).where("a.id < b.id")
+    # The common subsequence is no longer than the shorter name; a length may be off by what the two engines fold apart.
+    pairs = pairs.where(200.0 * (F.least("a._length", "b._length") + 2) >= (least - 0.001) * (F.col("a._length") + F.col("b._length") - 4))
     scored = pairs.select("a.id", F.col("b.id").alias("other"), F.col("a.name").alias("name"), F.col("b.name").alias("other_name"), F.col("a.weight").alias("w"), F.col("b.weight").alias("other_w"), udfs.similarity(F.col("a.name"), F.col("b.name")).alias("score"))
     keep_other = F.col("other_w") > F.col("w")
     return scored.where(F.col("score") >= least).select(F.when(keep_other, F.col("other")).otherwise(F.col("id")).alias("keep_id"), F.when(keep_other, F.col("id")).otherwise(F.col("other")).alias("drop_id"), "score")
@@ -54,6 +58,7 @@ def merged_duplicates(pairs: DataFrame) -> DataFrame:
 
     Groups are the connected components of the pairs, so the result doesn't depend on the order of merging.
     """
+    pairs = _kept(pairs)  # scores are computed once
     label = components(pairs.select(F.col("keep_id").alias("a"), F.col("drop_id").alias("b")))
     kept = pairs.select(F.col("keep_id").alias("node")).join(pairs.select(F.col("drop_id").alias("node")), "node", "left_anti").distinct()
     chosen = label.join(kept, "node").groupBy("root").agg(F.min("node").alias("keep_id"))
