@@ -230,3 +230,12 @@ def locate_once(t: Tables) -> DataFrame:
     """Where an item stands in its document, if once."""
     met = t.documents.join(t.benchmark.withColumnRenamed("text", "item"), F.col("doc_id") % 40 == F.col("item_id"))
     return met.select("doc_id", "item_id", text.locate_once(F.col("item"), F.col("text")).alias("at")).select("doc_id", "item_id", "at.status", "at.start")
+
+
+@query()
+def locate_every(t: Tables) -> DataFrame:
+    """Where each item stands in each document that holds it in any case (T11); pairs that aren't there are missing. The tests hold it to brute force."""
+    items = t.benchmark.select("item_id", F.col("text").alias("item"), F.lower("text").alias("_item"))
+    docs = t.documents.select("doc_id", "text", F.lower("text").alias("_text"))
+    met = docs.join(F.broadcast(items), F.contains("_text", "_item") | F.contains("text", "item"))
+    return met.select("doc_id", "item_id", text.locate_once(F.col("item"), F.col("text")).alias("at")).select("doc_id", "item_id", "at.status", "at.start")
