@@ -82,3 +82,12 @@ def test_decoding_never_contradicts_itself():
         best = max(sum(logits[k] for k in range(n) if m >> k & 1) for m in range(1 << n) if all(not m >> k & 1 or k == 0 or m >> nodes[k].parent & 1 for k in range(n)))
         assert all(not kept[k] or k == 0 or kept[nodes[k].parent] for k in range(n))
         assert logits[kept].sum() == pytest.approx(best)
+
+
+def test_head_without_its_end():
+    every = lambda page: dom.text_of(nodes := dom.parse(page), np.ones(len(nodes), bool))
+    for start in ("<html><head><title>x</title><body>", "<head><meta charset=utf-8><title>x</title>", "<head><title>x</title><template><div>no</div></template>"):
+        assert every(f"{start}<p>one<p>two") == "one\n\ntwo"
+    assert every("<head><title>x</title> plain <b>text</b>") == "plain text"
+    assert every("<body><p>a<select><option>no<div>one</div><p>two") == "a\n\none\n\ntwo"
+    assert every("<body><p>a<select><option>no<option>no</select> b<p>two") == "a b\n\ntwo"

@@ -14,12 +14,15 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template textarea title select option button iframe object svg canvas head".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+#: What may stand in a head: any other element, or text, closes it if its end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Opening one of these closes an open element of the same group.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("html body article aside section div main table ul ol dl td th blockquote form fieldset header footer nav figure details".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_LIST_END = re.compile(r"</(?:select|option|datalist)\b", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -44,6 +47,7 @@ def parse(page: str) -> list[Node]:
     stack: list[tuple[str, int]] = [("html", 0)]
     text: list[str] = []
     links, dropped, at = 0, 0, 0
+    list_end = max((m.start() for m in _LIST_END.finditer(page)), default=-1)
 
     def flush() -> None:
         joined = " ".join("".join(text).split())
@@ -53,6 +57,8 @@ def parse(page: str) -> list[Node]:
         text.clear()
 
     def put(piece: str) -> None:
+        if stack[-1][0] == "head" and piece.strip():
+            pop(len(stack) - 1)
         if piece and not dropped:
             piece = html.unescape(piece) if "&" in piece else piece
             text.append(piece)
@@ -84,6 +90,14 @@ def parse(page: str) -> list[Node]:
                 if tag not in BLOCKS and stack[k][0] in BLOCKS:
                     break  # a stray end of an inline element closes no block
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop(len(stack) - 1)
+        if dropped and tag in BLOCKS and at > list_end:
+            # No end of a list of options follows: the block isn't part of one.
+            for k in range(1, len(stack)):
+                if stack[k][0] in ("select", "option"):
+                    pop(k)
+                    break
         nodes[stack[-1][1]].tags += 1
         if tag == "br":
             text.append(" ")
