@@ -57,3 +57,15 @@ def test_spans_merge_neighbouring_diagonals(spark):
 
 def test_empty_table(spark):
     assert licenses.license_report(documents(spark, EDGES).limit(0)).collect() == []
+
+
+def test_spans_are_verified(spark):
+    notice = "under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    cc = "Licensed under a Creative Commons Attribution{} 4.0 International License"
+    rows = [
+        (1, notice.format("")), (2, notice.format("Lesser ")), (3, notice.format("Affero ")), (4, " ".join(["this software for any and"] * 40)), (5, cc.format("")), (6, cc.format("-NonCommercial")),
+        (7, "Licensed under CC BY-NC-SA 4.0"), (8, "documentation files software and associated of this a copy obtaining to any person of charge free granted hereby is Permission"),
+        (9, " filler ".join("this is free and|free and unencumbered software|software released into the|into the public domain".split("|")) + prose(1, 90)),
+    ]
+    by = {r["doc_id"]: r["labels"] for r in licenses.license_report(documents(spark, rows)).collect()}
+    assert by == {1: "gpl", 2: "gpl,lgpl", 3: "agpl,gpl", 4: "", 5: "cc-by", 6: "", 7: "", 8: "", 9: ""}

@@ -1,23 +1,24 @@
 """Operator 8: license scans by diagonal voting.
 
 Every position of every text gives the hash of the words from there on: two words for the base phrases, GRAM words for
-the templates. Spark joins these to the positions of the templates (a few hundred rows, broadcast), counts matches by
-the diagonal on which they lie, merges neighbouring diagonals into spans and verifies how much of the template each span
-holds. Only matches and one row for each document are shuffled, never texts.
+the templates. Spark joins these to the positions of the templates (a few hundred rows, broadcast), counts a phrase's
+matches by the diagonal on which they lie, and verifies how much of a template stands in its order within a span of the
+text, with the words that tell it from its relatives. Only matches and one row for each document are shuffled, never texts.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.common import blocks, gram_hashes, map_rows, run_hashes
 
-#: Words of a template gram; how far apart diagonals of one span may be; how much of a template a span must hold.
+#: Words of a template gram; how many words a span may drift from its template; how much of a template a span must hold.
 GRAM, GAP, LEAST_SHARE = 4, 12, 0.5
 
 #: The base phrases and their labels.
@@ -47,6 +48,9 @@ TEMPLATES = (
     ("proprietary", "All rights reserved. No part of this publication may be reproduced"),
 )
 
+#: Words that tell a template from its relatives: a span must have them, next to each other.
+TELLING = {"lgpl": "lesser general", "agpl": "affero general", "cc-by": "attribution 4", "cc-by-nc": "nc 4", "cc-by-sa": "by sa 4"}
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -86,6 +90,46 @@ def _template_rows() -> tuple[list[tuple], list[tuple]]:
     return pairs, grams
 
 
+@cache
+def _telling(template: int) -> frozenset[int]:
+    """Places of the template's grams that hold its telling words; empty if any will do."""
+    label, text = (BASE_PHRASES + TEMPLATES)[template]
+    words, want = re.findall(r"[a-z0-9]+", text.lower()), TELLING.get(label, "").split()
+    return frozenset(p for p in range(len(words) - GRAM + 1) if want and any(words[k : k + len(want)] == want for k in range(p, p + GRAM - len(want) + 1)))
+
+
+def verified(hits: list[tuple[int, int]], grams: int, telling: frozenset[int]) -> list[tuple[int, int, float]]:
+    """First word, last gram's word and share of the spans of a template among its hits (place in the text, in the template).
+
+    A span's grams are in the template's order, each place once, within as many words as the template has and GAP more,
+    and have one of the telling places. Of spans that begin within one another the one with the largest share is taken.
+    """
+    hits = sorted(set(hits))
+    least, out, s, best = LEAST_SHARE * grams, [], 0, None
+    while s < len(hits):
+        if best is not None and hits[s][0] > best[1]:
+            out.append(best)
+            best = None
+        e = s
+        while e < len(hits) and hits[e][0] < hits[s][0] + grams + GAP:
+            e += 1
+        near = hits[s:e]
+        if len({a for _, a in near}) >= least and (not telling or any(a in telling for _, a in near)):
+            # The longest chains from the first hit to each of the others: with a telling place, and any. None: there is none.
+            chains = [[None, None] for _ in near]
+            for k, (p, a) in enumerate(near):
+                for has in (0, 1):
+                    before = 0 if k == 0 and not has else max((chains[j][has] for j in range(k) if chains[j][has] and near[j][0] < p and near[j][1] < a), default=None)
+                    if before is not None and (before or k == 0):
+                        for x in {has, int(has or not telling or a in telling)}:
+                            chains[k][x] = max(chains[k][x] or 0, before + 1)
+            n, last = max(((c[1] or 0, -p) for c, (p, _) in zip(chains, near, strict=True)))
+            if n >= least and (best is None or n / grams > best[2]):
+                best = (hits[s][0], -last, n / grams)
+        s += 1
+    return out if best is None else [*out, best]
+
+
 def _positions(spark: SparkSession, rows: list[tuple], key: str, name: str) -> DataFrame:
     made = spark.createDataFrame(rows, f"{key} long, template int, place int, grams int")
     return F.broadcast(made.groupBy(key).agg(F.collect_list(F.struct("template", "place", "grams")).alias(name)))
@@ -97,10 +141,10 @@ def _labels(column: str) -> F.Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """Merged diagonals of each text: row, doc_id, n_words, template, first and last word, matched grams, share of the template.
+    """Verified spans of each text: row, doc_id, template, n_words, first and last gram's word, share of the template.
 
     A row with a null template for each text comes with them. `row` tells repeated ids apart. Base phrases are whole
-    (share 1) or not there; a template's span holds at least LEAST_SHARE of its grams within GAP words of drift.
+    (share 1) or not there; a template's span holds at least LEAST_SHARE of its grams in order.
     """
     spark = docs.sparkSession
 
@@ -119,17 +163,23 @@ def spans(docs: DataFrame) -> DataFrame:
     met = grams.join(_positions(spark, pairs, "pair", "by_pair"), "pair", "left").join(_positions(spark, longer, "gram", "by_gram"), "gram", "left")
     empty = F.expr("cast(array() as array<struct<template: int, place: int, grams: int>>)")
     hits = met.where("n_words >= 0 or by_pair is not null or by_gram is not null").select("row", "doc_id", "n_words", "place", F.explode_outer(F.concat(F.coalesce("by_pair", empty), F.coalesce("by_gram", empty))).alias("at"))
-    votes = hits.groupBy("row", "doc_id", F.col("at.template").alias("template"), F.col("at.grams").alias("grams"), (F.col("place") - F.col("at.place")).alias("diagonal"))
-    votes = votes.agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"))
-    # Diagonals of a template that are near each other and meet or follow in the text belong to one span.
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
     is_base = F.col("template") < len(BASE_PHRASES)
-    fresh = is_base | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > GAP)
-    merged = votes.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(order))
-    merged = merged.groupBy("row", "doc_id", "template", "grams", "span").agg(F.max("n_words").alias("n_words"), F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
-    least = F.when(is_base, F.lit(1.0)).otherwise(F.lit(LEAST_SHARE))
-    return merged.withColumn("share", share).where(F.col("template").isNull() | (F.col("share") >= least)).drop("votes", "grams", "span")
+    hits = hits.select("row", "doc_id", "n_words", F.col("at.template").alias("template"), F.col("at.grams").alias("grams"), "place", F.col("at.place").alias("in_template"))
+    # A base phrase stands where all its pairs follow one another, on a diagonal of their own; a text's own row has no template.
+    whole = hits.where(is_base | F.col("template").isNull()).groupBy("row", "doc_id", "template", "grams", (F.col("place") - F.col("in_template")).alias("diagonal"))
+    whole = whole.agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"))
+    whole = whole.where("template is null or votes >= grams").select("row", "doc_id", "template", "n_words", "first", "last", F.least(F.lit(1.0), F.col("votes") / F.col("grams")).alias("share"))
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(r["row"], r["doc_id"], r["template"], -1, *x) for r in batch.to_pylist() for x in verified([(h["place"], h["in_template"]) for h in r["hits"]], r["grams"], _telling(r["template"]))]
+        return pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema=kinds)
+
+    names = whole.columns
+    kinds = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()], strict=True)))
+    voted = hits.where(~is_base).groupBy("row", "doc_id", "template", "grams").agg(F.collect_list(F.struct("place", "in_template")).alias("hits"))
+    # Each place of a template once at least, or there can't be enough of them.
+    voted = voted.where(F.size(F.array_distinct("hits.in_template")) >= LEAST_SHARE * F.col("grams"))
+    return whole.unionByName(map_rows(voted, verify, "row long, doc_id long, template int, n_words long, first long, last long, share double"))
 
 
 def license_report(docs: DataFrame) -> DataFrame:
