@@ -61,6 +61,28 @@ def test_many_copies_of_one_payload(spark, tmp_path):
     assert result(warc.round_trip(spark.createDataFrame(pages, SCHEMA), str(tmp_path / "b"))) == expected(pages)
 
 
+def test_copies_among_pages_that_occur_once_and_long_payloads_in_one_file(spark, tmp_path):
+    once = [(k, f"http://d/{k}", f"<p>{k} " + "unlike all others " * 9 + "</p>") for k in range(300)]
+    again = [(1000 + k, f"http://e/{k}", once[k % 40][2]) for k in range(90)]
+    long = [(5000 + k, f"http://f/{k}", f"{k} WARC/1.1\r\n\r\n" + f"{k % 7}" * 1_000_000) for k in range(60)]
+    pages = once + again + long
+    frame = spark.createDataFrame(pages, SCHEMA).coalesce(1)
+    assert result(warc.round_trip(frame, str(tmp_path / "f"))) == expected(pages)
+    assert len(glob.glob(f"{tmp_path}/f/*.gz")) <= 3
+    kept = warc.with_revisits(frame)
+    assert kept.where("first_id is not null").count() == 90 and kept.count() == len(pages)
+
+
+def test_plain_archives(spark, tmp_path):
+    folder = str(tmp_path / "g")
+    warc.write_archives(spark.createDataFrame(PAGES, SCHEMA), folder)
+    (tmp_path / "plain").mkdir()
+    for k, name in enumerate(glob.glob(f"{folder}/*.gz")):
+        (tmp_path / "plain" / f"{k}.warc").write_bytes(gzip.decompress(open(name, "rb").read()))
+    rows = lambda df: sorted(map(str, df.select("record_id", "record_type", "payload").collect()))
+    assert rows(warc.read_records(spark, str(tmp_path / "plain"), plain=True)) == rows(warc.read_records(spark, folder))
+
+
 def test_archives_are_warc(spark, tmp_path):
     folder = str(tmp_path / "c")
     warc.write_archives(spark.createDataFrame(PAGES, SCHEMA), folder)
@@ -104,6 +126,8 @@ def test_broken_archives_are_refused():
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort"))
     with pytest.raises(ValueError):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 10"))
+    with pytest.raises(ValueError):
+        list(warc._pieced(iter([b"", b"1\r\nContent-Length: 10\r\n\r\nshort"])))
 
 
 def test_empty_table(spark, tmp_path):

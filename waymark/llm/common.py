@@ -142,9 +142,15 @@ def text_groups(texts: list[str], most: int = BLOCK_BYTES) -> Iterator[tuple[int
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a worker holds a few MB of text whatever the rows are like."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Small Arrow batches, so that a worker holds a few MB of text whatever the rows are like.
+
+    Spark reads these two settings when a query runs, which is after an operator has returned, so they stay set for the
+    session; smaller batches that the user has asked for stay as they are.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        known = spark.conf.get(key)
+        if not known.isdigit() or not 0 < int(known) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
@@ -183,6 +189,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that these operators wrote to the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it from there: what follows doesn't compute it again."""
     shared_folder(df.sparkSession)

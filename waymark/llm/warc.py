@@ -1,14 +1,17 @@
 """Operator 2: WARC archives, written and read by Spark, and assembly of the records of a capture.
 
 A capture is a request, a response (or a revisit of an equal payload) and a metadata record. Archives are written by
-Spark's text writer, gzip-compressed, a few thousand captures to a file; they are read as binary files and split by the
-records' own lengths. Assembly joins the three kinds through WARC-Concurrent-To and emits a nested row for each capture.
+Spark's text writer, gzip-compressed, a few thousand captures to a file (one gzip member each: Spark has no writer that
+begins a member for each record). They are read as a stream: Spark's text reader parts them where a record may begin, and
+a record takes as many parts as its own length says. So no file is held whole; what must fit in a task is the largest
+record. Assembly joins the three kinds through WARC-Concurrent-To and emits a nested row for each capture.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import join_hot, settle, shared_folder
+from waymark.llm.common import ARROW_BYTES, discard, join_hot, settle, shared_folder, tuned
 
 #: Payloads below this are never revisits: a revisit record would save nothing.
 LEAST_REVISIT = 100
-#: Captures in an archive file at most, so that a file fits in a reader's memory.
+#: Captures in an archive file at most: a file is what one task reads.
 FILE_CAPTURES = 2000
+#: What a record begins with; the reader parts an archive at each.
+_MARK = "WARC/1."
+#: Hexadecimal digits of a digest that name its slot in the filter of repeated digests.
+_SLOT_DIGITS = 6
 #: Pages have no time of capture; the format asks for one.
 NO_DATE = "1970-01-01T00:00:00Z"
 _END = "\r\n\r\n"
@@ -34,14 +41,22 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest and first_id: the page that this one's payload was first seen on.
 
     Of rows with equal payloads of at least `least` bytes the smallest page_id comes first; first_id is null for it, for
-    smaller payloads and for rows without a page_id. Digests are grouped without the payloads, and groups of very many
-    pages take no part in the shuffle by digest.
+    smaller payloads and for rows without a page_id. Digests are grouped without the payloads. Only rows whose digest may
+    be a repeated one, by a filter of fixed size, are joined to the groups and shuffled, and of these no group of very
+    many pages. A corpus with more repeated payloads than the filter has slots shuffles more of its rows, to the same end.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2(F.col("payload").cast("binary"), 256)})
     groups = rows.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least)).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    joined = join_hot(rows, settle(groups.where("n > 1")), "payload_digest", "n", unique="page_id")
-    return joined.withColumn("first_id", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id")))
+    groups = settle(groups.where("n > 1"))
+    slotted = lambda df: df.withColumn("_slot", F.conv(F.substring("payload_digest", 1, _SLOT_DIGITS), 16, 10).cast("long")).withColumns({"_word": F.expr("_slot div 64"), "_bit": F.expr("cast(_slot % 64 as int)")})
+    # 64 slots to a row: at most 16 ** _SLOT_DIGITS / 64 rows of two longs, whatever the table's size.
+    repeated = F.broadcast(slotted(groups).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")))
+    seen = slotted(rows).join(repeated, "_word", "left")
+    may_repeat = F.coalesce(F.bit_get("_bits", "_bit") == 1, F.lit(False))
+    once = seen.where(~may_repeat).select(*rows.columns, F.lit(None).cast("long").alias("first_id"))
+    joined = join_hot(slotted(rows).join(repeated, "_word").where(may_repeat).select(*rows.columns), groups, "payload_digest", "n", unique="page_id")
+    return once.unionByName(joined.withColumn("first_id", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id"))))
 
 
 def _record_id(page_id: Column, digest: Column, part: str = "") -> Column:
@@ -138,28 +153,63 @@ def _fields(lines: list[str]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines if line)}
 
 
-def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row for each record of the archives under the path, gzip-compressed or plain.
-
+def _pieced(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of archives that were parted at each _MARK: a block that holds the mark is put together again."""
+    open_piece: list[bytes] = []
+    size, whole = 0, 0
+    for piece in pieces:
+        if not open_piece and not piece.strip():
+            continue  # what comes before an archive's first record
+        if open_piece:
+            open_piece.append(_MARK.encode())
+            size += len(_MARK)
+        open_piece.append(piece)
+        size += len(piece)
+        if not whole:
+            data = b"".join(open_piece)
+            if (end := data.find(b"\r\n\r\n")) < 0:
+                continue
+            length = re.search(rb"\r\ncontent-length:\s*(\d+)", data[:end], re.I)
+            whole = end + 4 + (int(length[1]) if length else 0)
+        if size >= whole:
+            yield from parse_records(_MARK.encode() + b"".join(open_piece))
+            open_piece, size, whole = [], 0, 0
+    if open_piece:
+        raise ValueError("an archive ends within a record")
+
+
+def read_records(spark: SparkSession, path: str, payloads: bool = True, plain: bool = False) -> DataFrame:
+    """A row for each record of the gzip-compressed archives under the path; with `plain`, of archives that aren't compressed.
+
+    Compressed archives are read as streams. Plain ones, which Spark's text reader would split anywhere, are read whole.
     A response's payload_digest and payload_bytes come from the payload itself, and `intact` says whether the record's
     own digest agrees; a revisit's come from its head. Without `payloads` the payload column is null.
     """
     names = [f.split()[0] for f in RECORD.split(", ")]
     kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.binary()]
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows: list[tuple] = []
-                for head, block in parse_records(content.as_py()):
-                    rows.append(_row(head, block, payloads))
-                    if len(rows) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(each, RECORD)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contents = (x.as_py() for batch in batches for x in batch.column(0))
+        rows: list[tuple] = []
+        size = 0
+        for head, block in (r for c in contents for r in parse_records(c)) if plain else _pieced(contents):
+            rows.append(_row(head, block, payloads))
+            size += len(block) if payloads else 0
+            if len(rows) == 512 or size > ARROW_BYTES:
+                yield packed(rows)
+                rows, size = [], 0
+        if rows:
+            yield packed(rows)
+
+    tuned(spark)
+    if plain:
+        content = spark.read.format("binaryFile").load(path).select("content")
+    else:
+        content = spark.read.option("lineSep", _MARK).text(path).select(F.col("value").cast("binary").alias("content"))
+    return content.mapInArrow(each, RECORD)
 
 
 # Assembly.
@@ -195,13 +245,17 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes the pages as archives, reads them back and returns page_id, payload_bytes, payload_digest, record_type and refers_to.
 
-    The archives go to `folder`, or to a new one in the folder that all executors share. A null html is an empty payload.
-    Rows that repeat a page come back as often as they went; a row without a page_id comes back without one, as a response.
+    The archives go to `folder`, or to a new one in the folder that all executors share,
+    where they are deleted once they have been read. A null html is an empty payload, a payload of any length up to what
+    one value may hold comes back whole, an empty table gives no rows. Rows that repeat a page come back as often as they
+    went; a row without a page_id comes back without one, as a response.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, folder)
-    records = settle(read_records(spark, folder, payloads=False))
+    into = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, into)
+    records = settle(read_records(spark, into, payloads=False))
+    if folder is None:
+        discard(spark, into)
     captures = assemble(records).where("response is not null")
     page_of = lambda uri: F.regexp_extract(uri, "^<urn:page:(-?[0-9]+):", 1)
     refers = page_of(F.col("response.refers_to"))
