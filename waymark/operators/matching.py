@@ -66,32 +66,27 @@ def merged_duplicates(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root, the smallest node that can be reached, for every node of the edges (a, b).
+    """node and root, the smallest node that can be reached, for every node of the edges (a, b); a loop is a node alone.
 
-    In each round nodes point to their smallest neighbour, pointers are followed to their ends by doubling, and edges
-    move to where their ends point; loops go. A chain of n nodes in order takes one round of log n doublings. What a
-    round finds is written to the checkpoint folder.
+    Each round has two steps. First every edge's larger end moves its link to the smallest neighbour of the smaller end;
+    then every node and its smaller neighbours link to the smallest of these. Links only ever fall, nothing comes apart,
+    and when a round changes nothing each node is linked to its root alone. A chain of n nodes takes about log n rounds.
+    Minima are pre-aggregated, and what a round finds is written to the checkpoint folder.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    label = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-    edges = _kept(edges.where("a != b"))
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = _followed(_kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("to"))))
-        moved = edges.join(step.select(F.col("at").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("at").alias("b"), F.col("to").alias("y")), "b")
-        edges = _kept(moved.where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-        label = _kept(label.join(step, label.root == step["at"], "left").select("node", F.coalesce("to", "root").alias("root")))
-    return label
-
-
-def _followed(step: DataFrame) -> DataFrame:
-    """Pointers (at, to), none of which rises, each to the end of its path."""
-    while True:
-        hop = step.select(F.col("at").alias("to"), F.col("to").alias("then"))
-        longer = _kept(step.join(hop, "to").select("at", "to", "then"))
-        step = longer.select("at", F.col("then").alias("to"))
-        if longer.where("to != then").isEmpty():
-            return step
+    loops = edges.where("a = b").select(F.col("a").alias("node"))
+    links = _kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    while (now := links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()) != state:
+        state = now
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m")).select("at", F.least("at", "m").alias("m"))
+        large = links.join(least, links.b == least["at"]).select("a", F.col("m").alias("b")).distinct()
+        low = large.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m"))
+        small = large.join(low, large.a == low["at"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        links = _kept(small.union(low.select(F.col("at").alias("a"), F.col("m").alias("b"))).distinct())
+    linked = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = linked.select(F.col("root").alias("node")).union(loops).distinct().join(linked.select("node"), "node", "left_anti")
+    return linked.union(roots.select("node", F.col("node").alias("root")))
 
 
 def _kept(df: DataFrame) -> DataFrame:
