@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from tests.llm.helpers import fingerprint, groups, sound_layout
+from tests.llm.helpers import sound_layout
 from tests.llm.test_decontam import fewest_edits, form
+from tests.llm.test_near_copies import first_ids
 from tests.oracle import connect
 from waymark.llm import decontam, entries, langid
 
@@ -45,9 +46,7 @@ def test_language(stages):
 
 
 def test_near_duplicates(stages):
-    rows = sorted((r["doc_id"], r["text"]) for r in stages[2].collect())
-    first = groups([fingerprint(t) for _, t in rows])
-    assert ids(stages[3]) == sorted({rows[g][0] for g in first})
+    assert ids(stages[3]) == first_ids([(r["doc_id"], r["text"]) for r in stages[2].collect()])
 
 
 def test_decontamination(stages, spark, sf_dir):

@@ -60,13 +60,22 @@ def test_links_reach_two_bits_and_no_more(spark):
     assert all((a["a"] ^ a["b"]) % (1 << 64) and ((a["a"] ^ a["b"]) % (1 << 64)).bit_count() <= 2 for a in pairs.collect())
 
 
-def test_components_of_a_chain_and_a_star(spark):
-    # Fingerprints are hashes, so a chain's nodes come in no order.
-    name = lambda k: k * 0x9E3779B97F4A7C15 % (1 << 63)
-    edges = [(name(k), name(k + 1)) for k in range(60)] + [(name(1000), name(1000 + k)) for k in range(1, 300)]
-    found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    chain, star = [name(k) for k in range(61)], [name(1000 + k) for k in range(300)]
-    assert found == dict.fromkeys(chain, min(chain)) | dict.fromkeys(star, min(star))
+def test_crowded_buckets_and_candidates_that_are_too_far(spark):
+    """Many fingerprints with one segment value, near each other or not: split or compared one by one, the links are the same."""
+    r = random.Random(9)
+    low = r.getrandbits(32)
+    values = [r.getrandbits(32) << 32 | low for _ in range(120)]  # far from each other in the upper segment
+    for v in values[:60]:
+        values += [v ^ 1 << r.randrange(64), v ^ 1 << r.randrange(32) ^ 1 << r.randrange(32, 64), v ^ 7 << r.randrange(60)]
+    values = list(dict.fromkeys(values))
+    distinct = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long").repartition(3)
+    first = groups(values)
+    for dense in (1, 40, 10**6):
+        pairs = simhash.links(distinct, dense)
+        assert all(((a["a"] ^ a["b"]) % (1 << 64)).bit_count() in (1, 2) for a in pairs.collect())
+        label = {row["node"] % (1 << 64): row["root"] % (1 << 64) for row in simhash.components(pairs).collect()}
+        found: dict[int, int] = {}
+        assert [found.setdefault(label.get(v, v), k) for k, v in enumerate(values)] == first
 
 
 def test_one_of_each_keeps_the_smallest_id_and_all_columns(spark):

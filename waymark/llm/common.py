@@ -210,22 +210,21 @@ def held_out(doc_id: Column) -> Column:
 SHARE = 1000
 
 
-def join_hot(left: DataFrame, groups: DataFrame, key: str, count: str, how: str = "left", unique: str | None = None) -> DataFrame:
+def join_hot(left: DataFrame, groups: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
     """left joined to groups, which has one row for each key with the number of left's rows in `count`.
 
-    Groups with over 1/SHARE of all rows, SHARE of them at most, are broadcast; their rows take no part in the shuffle
-    by key: they get keys of their own there, made from `unique` (a column of left), that nothing matches.
-    groups should be settled: it is read three times.
+    Groups with over 1/SHARE of all rows, SHARE of them at most, are broadcast; their rows, and those without a key, take
+    part in the shuffle under salts of their own that nothing matches. groups should be settled: it is read three times.
     """
     total = groups.agg(F.sum(count)).first()[0] or 0
     others = [c for c in groups.columns if c not in (key, count)]
-    heavy = groups.where(F.col(count) > F.greatest(F.lit(total / SHARE), F.lit(50)))
-    light = groups.where(F.col(count) <= F.greatest(F.lit(total / SHARE), F.lit(50)))
-    hot = heavy.select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in others])
+    is_hot = F.col(count) > F.greatest(F.lit(total / SHARE), F.lit(50))
+    hot = groups.where(is_hot).select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in others])
+    light = groups.where(~is_hot).select(F.col(key).alias("_light_key"), F.lit(0).cast("long").alias("_light_salt"), *[F.col(c).alias(f"_light_{c}") for c in others])
     first = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    spread = F.concat(F.lit("\x00"), F.coalesce(F.col(unique or key).cast("string"), F.lit("")), F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
-    keyed = first.withColumn("_light_key", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), spread).otherwise(F.col(key).cast("string")))
-    light = light.select(F.col(key).cast("string").alias("_light_key"), *[F.col(c).alias(f"_light_{c}") for c in others])
-    both = keyed.join(light, "_light_key", "left")
-    out = both.select(*left.columns, *[F.coalesce(f"_hot_{c}", f"_light_{c}").alias(c) for c in others])
-    return out if how == "left" else out.where(F.coalesce(*[F.col(c) for c in others]).isNotNull())
+    salt = F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), 1 + F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    salted = first.withColumn("_salt", salt)
+    both = salted.join(light, (F.col(key) == F.col("_light_key")) & (F.col("_salt") == F.col("_light_salt")), "left")
+    if how == "inner":
+        both = both.where("_hot_key is not null or _light_key is not null")
+    return both.select(*left.columns, *[F.coalesce(f"_hot_{c}", f"_light_{c}").alias(c) for c in others])

@@ -1,10 +1,12 @@
-"""The pipeline's near-copy removal: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Nothing is estimated. Of two sets that are so alike, each holds four fifths of the other, so in any one order of all
-shingles the first fifth (and one more) of each has a shingle in common. Rare shingles come first in that order: those
-that many texts share are counted on a sample, which decides how many candidates there are and never which pairs are
-found. Equal sets are one node. Within the texts of a shared shingle all first meet the smallest node; what that leaves
-in several components is then compared pair by pair, so a group of many near copies makes no square of candidates.
+"""Operator 7 on word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+First come the fingerprints of operator 7, made from the sets: multi-index hashing fetches those within two bits, and the
+sets' similarity is verified. But sets that are 0.8 alike differ in about ten bits of 64, more than balls within segments
+can enumerate. So a second, exact search follows. Of two sets that are so alike, each holds four fifths of the other, so
+in any one order of all shingles the first fifth (and one more) of each has a shingle in common. Rare shingles come first
+in that order: those that many texts share are counted on a sample, which decides how many candidates there are and never
+which pairs are found. Equal sets are one node. All nodes of a shingle meet one of them, a few times over; only what is
+then still in different components meets pair by pair, so a group of many near copies makes no square of candidates.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blocks, gram_hashes, map_rows, mix, run_hashes, settle
-from waymark.llm.simhash import components, first_of_each, with_components
+from waymark.llm import simhash
+from waymark.llm.common import blocks, gram_hashes, join_hot, map_rows, mix, run_hashes, settle
+from waymark.operators.matching import components
 
 #: Words of a shingle. Two sets are alike if 5 * common >= 4 * all, that is 9 * common >= 4 * (their sizes' sum).
 SHINGLE = 5
 #: Texts on which shingles are counted, and how many of the frequent ones the order regards. Neither changes the result.
 COUNTED, FREQUENT = 4_000, 200_000
+#: How often all nodes of a shingle meet one of them before those still apart meet pair by pair. It doesn't change the result.
+MEETINGS = 3
 #: Slots of the table by which texts without any candidate are passed over.
 SLOTS = 1 << 20
 
@@ -72,7 +77,7 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _heads(texts: DataFrame) -> DataFrame:
-    """doc_id, node, n (shingles of the set) and head (the set's first fifth and one more) of every row."""
+    """doc_id, node, n (shingles of the set), fp (their SimHash) and head (the set's first fifth and one more) of every row."""
     frequent, counts = _frequent(texts)
 
     def head(found: np.ndarray) -> np.ndarray:
@@ -83,10 +88,12 @@ def _heads(texts: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1))
-        columns = [batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([head(s) for s in sets])]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "head"])
+        sizes = np.array([len(s) for s in sets], np.int64)
+        prints = np.concatenate([simhash.majority(np.concatenate([*sets[k : k + 64], np.zeros(0, np.uint64)]), sizes[k : k + 64]) for k in range(0, len(sets), 64)])
+        columns = [batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(sizes), pa.array(prints.view(np.int64)), _lists([head(s) for s in sets])]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "head"])
 
-    return map_rows(texts, work, "doc_id long, node long, n long, head array<long>")
+    return map_rows(texts, work, "doc_id long, node long, n long, fp long, head array<long>")
 
 
 def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -115,35 +122,66 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")
 
 
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
+
+
+def _by_fingerprint(once: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of nodes: those with one fingerprint meet the smallest of them, and these meet over operator 7's links."""
+    first = settle(once.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("rows")))
+    same = join_hot(once.select("fp", "node"), settle(first.where("rows > 1")), "fp", "rows", how="inner").select("node", "first")
+    met = simhash.links(first.select("fp"))
+    of = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}"))
+    return _pairs(same, "node", "first").union(_pairs(met.join(of("a"), "a").join(of("b"), "b"), "first_a", "first_b"))
+
+
 def links(texts: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs (a, b) of alike nodes that connect all that are alike."""
-    once = heads.groupBy("node", "n").agg(F.first("head").alias("head"))
+    once = settle(heads.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head")))
     places = once.select("node", "n", F.posexplode("head").alias("pos", "shingle"))
-    met = places.groupBy("shingle").agg(F.collect_list(F.struct("node", "n", "pos")).alias("all")).where(F.size("all") > 1)
-    # Of the texts of a shingle only those matter that may be alike to another; the search ends at the first.
-    paired = F.filter("all", lambda x: F.exists("all", lambda y: (y["node"] != x["node"]) & _may_be_alike(x, y)))
-    met = settle(met.select("shingle", paired.alias("all")).where(F.size("all") > 1))
-    sets = settle(_sets(texts, met.select(F.explode("all.node").alias("node")).distinct()))
-    to_least = met.select("all", F.array_min("all").alias("y")).select(F.explode("all").alias("x"), "y").where((F.col("x.node") != F.col("y.node")) & _may_be_alike(F.col("x"), F.col("y")))
-    first = settle(to_least.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    linked = settle(_alike(first, sets))
-    # What is left: candidates in different components of the links so far.
-    entries = met.select("shingle", F.explode("all").alias("x")).select("shingle", "x.*").join(components(linked), "node", "left")
-    entries = entries.select("shingle", F.struct("node", "n", "pos").alias("x"), F.coalesce("root", "node").alias("root"))
-    apart = entries.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
-    x = settle(entries.join(apart, "shingle", "left_semi"))
-    y = x.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"))
-    met_apart = x.join(y, "shingle").where((F.col("root") != F.col("other")) & (F.col("y.node") < F.col("x.node")) & _may_be_alike(F.col("x"), F.col("y")))
-    second = met_apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return linked.union(_alike(second, sets))
+    x = F.struct("node", "n", "pos")
+    counted = settle(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min(x).alias("y")).where("rows > 1"))
+    # Of all places only those of shared shingles go on.
+    shared = settle(join_hot(places, counted, "shingle", "rows", how="inner").select("shingle", x.alias("x"), "y"))
+    fitting = shared.where(_may_be_alike(F.col("x"), F.col("y")))
+    tested = settle(_pairs(fitting, "x.node", "y.node").union(_by_fingerprint(once)).distinct())
+    sets = settle(_sets(texts, tested.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    linked = settle(_alike(tested, sets))
+
+    def still_apart() -> DataFrame:
+        """The shared places with their component so far, of shingles whose nodes are in several."""
+        label = settle(components(linked))
+        rooted = settle(shared.select("shingle", "x", F.col("x.node").alias("node")).join(label, "node", "left").select("shingle", "x", F.coalesce("root", "node").alias("root")))
+        shares = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k"), F.min_by("x", F.xxhash64(F.col("x.node"), F.lit(meeting))).alias("y"))
+        # A shingle's largest component, and a node of a component of its own choice to meet.
+        of = shares.groupBy("shingle").agg(F.sum("k").alias("rows"), F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.min_by(F.struct("y", "root"), F.xxhash64(F.col("y.node"), F.lit(meeting))).alias("meet"))
+        return settle(join_hot(rooted, settle(of.where("roots > 1").drop("roots")), "shingle", "rows", how="inner"))
+
+    for meeting in range(MEETINGS):
+        apart = still_apart()
+        if apart.isEmpty():
+            break
+        if meeting < MEETINGS - 1:
+            met = apart.where(F.col("root") != F.col("meet.root")).select("x", F.col("meet.y").alias("y"))
+        else:
+            y = apart.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"))
+            minor = apart.where(F.col("root") != F.col("main")).select("shingle", "x", "root")
+            met = minor.join(y, "shingle").where(F.col("root") != F.col("other"))
+        pairs = settle(_pairs(met.where(_may_be_alike(F.col("x"), F.col("y"))), "x.node", "y.node").join(tested, ["a", "b"], "left_anti"))
+        new = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
+        if not (new := settle(new)).isEmpty():
+            sets = settle(sets.union(_sets(texts, new)))
+        tested, linked = settle(tested.union(pairs)), settle(linked.union(_alike(pairs, sets)))
+    return linked
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the smallest id of their group of near copies, with all their columns.
 
-    A group is what is connected by alike pairs. Rows without an id stay, a row repeated with its id and text stays once.
+    A group is what is connected by alike pairs; texts without a word (null, empty) are a group. Rows without an id stay,
+    a row repeated with its id and text stays once, an empty table gives none. Texts of any length are compared whole.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     heads = settle(_heads(texts))
     rows = heads.select("doc_id", F.col("node").alias("fingerprint"))
-    return first_of_each(docs, with_components(rows, settle(links(texts, heads))))
+    return simhash.first_of_each(docs, simhash.with_components(rows, links(texts, heads)))

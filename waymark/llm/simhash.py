@@ -1,12 +1,13 @@
 """Operator 7: near-duplicates by SimHash and multi-index hashing.
 
-A fingerprint has 64 bits in two segments of 32. Fingerprints that differ in at most two bits differ in at most one bit
-of some segment, or agree in one segment and differ in two bits of the other; either way some value within one bit of
-both lies on the way between them. So each distinct fingerprint enumerates, within each segment, the Hamming ball of
-radius one, and looks the values up in a table that is keyed by segment value and the other segment's bits: 65 probes.
-(A table keyed by a segment's value alone would make all pairs within a dense bucket candidates, and a group of many
-near copies is one such bucket.) Matches meet at the smallest fingerprint of a table entry, and the complete distance of
-each such link is verified. Exact copies collapse to one fingerprint before any of this.
+A fingerprint has 64 bits in two segments of 32, and for each segment there is a table of the fingerprints by its value.
+Fingerprints that differ in at most two bits differ in at most one bit of some segment, so each enumerates, within each
+segment, the Hamming ball of radius one (33 values), fetches what the table has there, and verifies complete distances.
+
+A bucket of a table holds the fingerprints with one segment value; a group of many near copies may fill one. A bucket of
+over DENSE fingerprints is split by the bits of the other segment: its fingerprints, and those whose balls reach it, then
+meet at whole values within one bit of both, which at most 65 fingerprints share. So no probe fetches more than DENSE
+candidates and no pair within the radius is missed. Exact copies collapse to one fingerprint before any of this.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import join_hot, map_rows, settle, text_groups
+from waymark.operators.matching import components
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
+#: Fingerprints of a bucket that a probe compares one by one; larger buckets are split. Both ways find the same links.
+DENSE = 64
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -47,10 +51,10 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
         ends[0] = -1
         counts[k] = len(words) - shingle + 1
         hashes.append(np.fromiter((digest(joined[a + 1 : b], SEED) for a, b in zip(ends[:-shingle], ends[shingle:], strict=True)), np.uint64, int(counts[k])))
-    return _majority(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts)
+    return majority(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts)
 
 
-def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each run of counts[k] hashes, the bits that are set in over half of them."""
     out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(counts)
@@ -81,38 +85,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, fingerprint long")
 
 
-def links(distinct: DataFrame, bits: int = BITS, segments: int = 2) -> DataFrame:
-    """Links a > b between distinct fingerprints (column fp) at RADIUS bits or fewer that connect all that are so near.
+def _flipped(value: Column, bits: range) -> list[Column]:
+    return [value.bitwiseXOR(F.lit(int(np.uint64(1 << b).astype(np.int64)))) for b in bits]
 
-    Every pair within RADIUS bits shares a probe, so both link to that probe's smallest fingerprint; a probe has at
-    most 65 fingerprints within one bit of it, and a fingerprint 65 probes.
-    """
-    width = bits // segments
-    probes = [F.col("fp")]
-    for s in range(segments):
-        probes += [F.col("fp").bitwiseXOR(F.lit(int(np.uint64(1 << b).astype(np.int64)))) for b in range(s * width, (s + 1) * width)]
-    table = distinct.select("fp", F.explode(F.array(*probes)).alias("probe"))
-    met = table.groupBy("probe").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    pairs = met.select(F.explode("all").alias("a"), "b").where("a != b").distinct()
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
+def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
+    """Links a > b between distinct fingerprints (column fp) at RADIUS bits or fewer that connect all that are so near."""
+    spark = distinct.sparkSession
+    half = BITS // 2
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = settle(distinct.select("fp").repartition(tasks, "fp"))
+    # The upper segment's values are told from the lower one's by a bit above them.
+    low, high = F.col("fp").bitwiseAND(F.lit(2**half - 1)), F.shiftrightunsigned("fp", half).bitwiseOR(F.lit(2**half))
+    table = spread.select("fp", F.explode(F.array(low, high)).alias("bucket"))
+    crowded = settle(table.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("bucket"))
+    entries = table.join(crowded, "bucket", "left_anti").select("bucket", F.col("fp").alias("b"))
+    entries = entries.union(crowded.select("bucket", F.lit(None).cast("long").alias("b")))
+    balls = F.array(low, high, *_flipped(low, range(half)), *_flipped(high, range(half)))
+    fetched = spread.select(F.col("fp").alias("a"), F.explode(balls).alias("bucket")).join(entries.hint("shuffle_hash"), "bucket").select("a", "b")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
+    met = settle(fetched.where(F.col("b").isNull() | ((F.col("a") > F.col("b")) & near)).distinct())
+    return met.where("b is not null").union(_links_by_whole_value(met.where("b is null").select(F.col("a").alias("fp")))).distinct()
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node reachable) for each node of the edges (a, b), by repeated contraction.
 
-    In each round every node points to its smallest neighbour if that is smaller than itself; edges move to what their
-    ends point to and loops go, until none is left. Minima are pre-aggregated before each shuffle, so a node with very
-    many neighbours is no task's burden. Nodes are hashes: along a chain, falling runs are short, and so are the rounds.
+def _links_by_whole_value(crowd: DataFrame) -> DataFrame:
+    """Links of the fingerprints in and about crowded buckets: both segments' values name the bucket, and both are flipped.
+
+    A pair within RADIUS bits has a value within one bit of both. All that meet there link to its smallest; these links
+    connect what is near, and each is verified.
     """
-    edges = settle(edges.select("a", "b").where("a != b"))
-    label = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = settle(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("from"), F.least("a", "least").alias("to")))
-        edges = edges.join(step.select(F.col("from").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("from").alias("b"), F.col("to").alias("y")), "b")
-        edges = settle(edges.where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-        label = settle(label.join(step, label.root == step["from"], "left").select("node", F.coalesce("to", "root").alias("root")))
-    return label
+    values = F.array(F.col("fp"), *_flipped(F.col("fp"), range(BITS)))
+    met = crowd.select("fp", F.explode(values).alias("value")).groupBy("value").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
+    pairs = met.select(F.explode("all").alias("a"), "b").where("a != b").distinct()
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -127,13 +132,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def with_components(rows: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """near_duplicates() of rows of doc_id and fingerprint, over the edges (a, b) between fingerprints or else their links."""
     groups = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
-    label = components(links(groups.select(F.col("fingerprint").alias("fp"))) if edges is None else edges)
+    label = settle(components(links(groups.select(F.col("fingerprint").alias("fp"))) if edges is None else edges))
     joined = groups.join(label, groups.fingerprint == label.node, "left")
     linked = settle(joined.where("root is not null").select("fingerprint", "n", "root", "least_id"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     alone = joined.where("root is null and n > 1").select("fingerprint", "n", F.col("least_id").alias("component_id"))
     classes = settle(linked.join(least, "root").select("fingerprint", "n", "component_id").union(alone))
-    out = join_hot(rows, classes, "fingerprint", "n", unique="doc_id")
+    out = join_hot(rows, classes, "fingerprint", "n")
     # A fingerprint that one row alone has, linked to no other, is a component of its own.
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

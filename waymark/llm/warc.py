@@ -55,7 +55,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     seen = slotted(rows).join(repeated, "_word", "left")
     may_repeat = F.coalesce(F.bit_get("_bits", "_bit") == 1, F.lit(False))
     once = seen.where(~may_repeat).select(*rows.columns, F.lit(None).cast("long").alias("first_id"))
-    joined = join_hot(slotted(rows).join(repeated, "_word").where(may_repeat).select(*rows.columns), groups, "payload_digest", "n", unique="page_id")
+    joined = join_hot(slotted(rows).join(repeated, "_word").where(may_repeat).select(*rows.columns), groups, "payload_digest", "n")
     return once.unionByName(joined.withColumn("first_id", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id"))))
 
 
