@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -53,8 +55,11 @@ def test_every_match_and_no_other(spark):
     want = set()
     for i, text in rows:
         for item_id, item in ITEMS:
-            if item and len(form(item)) >= decontam.Q:
-                m = len(form(item))
+            m = len(form(item or ""))
+            if 0 < m < decontam.Q:
+                if re.search(rf"(?<![^\W_]){re.escape(form(item))}(?![^\W_])", form(text or "")):
+                    want.add((str(i), item_id))
+            elif m:
                 budget = int(decontam.edit_budget(np.array([m]))[0])
                 if fewest_edits(form(item), form(text or "")) <= budget:
                     want.add((str(i), item_id))
@@ -90,7 +95,62 @@ def test_very_long_text(spark):
 def test_blocks_of_items(spark, block):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     blocks = list(decontam.item_blocks(benchmark, block))
-    assert sorted(i for b in blocks for i in b.ids) == sorted(i for i, t in ITEMS if t and len(form(t)) >= decontam.Q)
+    assert sorted(i for b in blocks for i in b.ids) == sorted(i for i, t in ITEMS if t)
+
+
+def test_several_blocks_give_what_one_gives(spark, monkeypatch):
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = documents(spark, corpus())
+    rows = lambda df: sorted(map(str, df.collect()))
+    want, clean = rows(decontam.contaminations(docs, benchmark)), rows(decontam.keep_clean(docs, benchmark))
+    monkeypatch.setattr(decontam.item_blocks, "__defaults__", (150,))
+    assert rows(decontam.contaminations(docs, benchmark)) == want and rows(decontam.keep_clean(docs, benchmark)) == clean
+
+
+def places(item: str, text: str, budget: int) -> list[tuple[int, int, int]]:
+    """By the whole table of the alignment: for each end the fewest edits and the latest start, then what doesn't overlap."""
+    row = [(0, -j) for j in range(len(text) + 1)]
+    for c in item:
+        new = [(row[0][0] + 1, row[0][1])]
+        for j in range(1, len(text) + 1):
+            new.append(min((row[j - 1][0] + (text[j - 1] != c), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1])))
+        row = new
+    return decontam.apart([(e, -s, j) for j, (e, s) in enumerate(row) if e <= budget and -s < j])
+
+
+def test_places_against_the_whole_table():
+    r, seen = random.Random(1), 0
+    for trial in range(150):
+        letters = "ab " if trial % 3 == 0 else "abcdefgh "
+        n = r.choice((9, 16, 25, 40, 60))
+        item = " ".join((("ab " * 20)[:n] if trial % 5 == 0 else "".join(r.choice(letters) for _ in range(n))).split())
+        if len(item) < decontam.Q:
+            continue
+        text = "".join(edited(item, r.randint(0, 5), trial * 7 + k) + "".join(r.choice(letters) for _ in range(r.randint(0, 30))) for k in range(r.randint(1, 4)))
+        index = decontam.Index([1], [item])
+        form_of = lambda x: "".join(map(chr, decontam.folded([x])[0]))
+        points, starts, _ = decontam.folded(["before", text, ""])
+        got = decontam.apart(index.found(points, starts).get((1, 0), []))
+        assert got == places(item, form_of(text), int(index.budget[0]))
+        seen += len(got)
+    assert seen > 100
+
+
+def test_short_items_stand_as_whole_words_and_periodic_ones_at_every_place():
+    assert list(decontam.Index([1], ["2+2=4"]).matches(["xx 2+2=4 yy", "12+2=4", "2+2=4", "2+2=45"])) == [(0, 0, 3, 8, 0), (2, 0, 0, 5, 0)]
+    assert [(a, b) for _, _, a, b, _ in decontam.Index([1], ["ab " * 12]).matches(["ab " * 60])] == [(k, k + 35) for k in range(0, 180, 36)]
+
+
+def test_many_items_with_one_stem():
+    r = random.Random(1)
+    tail = lambda: "".join(r.choice("abcdefghij ") for _ in range(60))
+    stem = "Please read the following question carefully and choose the best answer from the options: "
+    items = [stem + tail() for _ in range(4000)]
+    index = decontam.Index(list(range(4000)), items)
+    text = "".join(stem + tail() for _ in range(16)) + items[17]
+    began = time.perf_counter()
+    assert [(k, e) for _, k, _, _, e in index.matches([text])] == [(17, 0)]
+    assert time.perf_counter() - began < 20
 
 
 def test_empty_tables(spark):
