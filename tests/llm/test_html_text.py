@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -91,3 +93,18 @@ def test_head_without_its_end():
     assert every("<head><title>x</title> plain <b>text</b>") == "plain text"
     assert every("<body><p>a<select><option>no<div>one</div><p>two") == "a\n\none\n\ntwo"
     assert every("<body><p>a<select><option>no<option>no</select> b<p>two") == "a b\n\ntwo"
+
+
+def test_time_is_in_proportion_to_a_page_whatever_is_in_it():
+    for junk in ("<a ", '<a "', "<a '>", "<!", "<!--", "<title>", "<p>", "<", "<script", "<b><hr>", "</i>"):
+        began = time.perf_counter()
+        dom.parse("<b>" * 20_000 + junk * (200_000 // len(junk)) + "</b>" * 20_000)
+        assert time.perf_counter() - began < 10
+    assert len(dom.parse("<i><div>" + "<b>" * 60_000 + "</i>" * 60_000)) == 2
+
+
+def test_quotes_in_tags():
+    text = lambda page: [t for n in dom.parse(page) for _, t in n.runs]
+    assert text('<p title="a > b">one</p><p>two</p>') == ["one", "two"]
+    assert text("<p title='never closed>one</p><p>two</p>") == ["one", "two"]
+    assert text("<p>three <a href=x") == ["three <a href=x"]

@@ -53,10 +53,10 @@ def test_sql(spark, sf_dir):
 def test_order_never_changes_a_verdict():
     (((_, _, block)),) = blocks(pa.array([t for i, t in ROWS if i != 5]))
     every = list(rules.BASE_RULES + rules.TEXT_RULES)
-    want = rules.verdicts(block, every).tolist()
+    want = rules.verdicts(rules.TextStats(block), every).tolist()
     for seed in range(6):
         random.Random(seed).shuffle(every)
-        assert rules.verdicts(block, every).tolist() == want
+        assert rules.verdicts(rules.TextStats(block), every).tolist() == want
 
 
 def test_cheap_and_selective_rules_come_first(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,10 +21,12 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script st
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("html body article aside section div main table ul ol dl td th blockquote form fieldset header footer nav figure details".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _LIST_END = re.compile(r"</(?:select|option|datalist)\b", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_LISTS = frozenset(("table", "ul", "ol", "dl"))
 
 
 @dataclass
@@ -41,10 +44,103 @@ class Node:
     main: bool = False
 
 
+class Tokens:
+    """The tags of a page in one pass: begin, end, whether it is an end tag, name and attributes (None for comments).
+
+    A tag ends at the first > outside quotes. Where quotes don't close, they and all later ones are characters like
+    others; where no > is left, the rest is text. So no part of a page is read again and again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quoted, self.at = page, True, 0
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends the tag, or -1."""
+        begin = at
+        while self.quoted:
+            stop = _TAG_STOP.search(self.page, at)
+            if stop is None:
+                self.quoted = False
+            elif stop[0] == ">":
+                return stop.start()
+            else:
+                close = self.page.find(stop[0], stop.end())
+                self.quoted = close >= 0
+                at = close + 1
+        return self.page.find(">", begin)
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str | None, str]]:
+        page = self.page
+        while (begin := page.find("<", self.at)) >= 0:
+            self.at = begin + 1
+            closes = page.startswith("/", begin + 1)
+            name = _NAME.match(page, begin + 1 + closes)
+            if name:
+                end = self._end(name.end())
+                if end < 0:
+                    return
+                self.at = end + 1
+                yield begin, end + 1, closes, name[0].lower(), page[name.end() : end]
+            elif page.startswith("!--", begin + 1):
+                end = page.find("-->", begin + 4)
+                self.at = len(page) if end < 0 else end + 3
+                yield begin, self.at, False, None, ""
+            elif page.startswith(("!", "?"), begin + 1):
+                end = page.find(">", begin)
+                if end < 0:
+                    return
+                self.at = end + 1
+                yield begin, self.at, False, None, ""
+
+
+class OpenElements:
+    """The stack of open elements (name, node), with the places at which each name, blocks, scopes and lists stand."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.of: dict[str, list[int]] = {}
+        self.blocks, self.scopes, self.lists = [0], [0], [0]
+        self.kinds: dict[str, list[list[int]]] = {}
+
+    def _kinds(self, tag: str) -> list[list[int]]:
+        if (kinds := self.kinds.get(tag)) is None:
+            kinds = self.kinds[tag] = [self.of.setdefault(tag, [])]
+            kinds += [places for kind, places in ((BLOCKS, self.blocks), (_SCOPES, self.scopes), (_LISTS, self.lists)) if tag in kind]
+        return kinds
+
+    def push(self, tag: str, node: int) -> None:
+        for places in self._kinds(tag):
+            places.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def pop(self, to: int) -> list[str]:
+        """Closes all elements from this place on; their names."""
+        closed = [tag for tag, _ in self.stack[to:]]
+        for tag in reversed(closed):
+            for places in self._kinds(tag):
+                places.pop()
+        del self.stack[to:]
+        return closed
+
+    def last(self, *tags: str) -> int:
+        """The place of the last open element of these names, 0 if there is none."""
+        if len(tags) == 1:
+            places = self.of.get(tags[0])
+            return places[-1] if places else 0
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), default=0)
+
+    def first(self, *tags: str) -> int:
+        return min((self.of[t][0] for t in tags if self.of.get(t)), default=0)
+
+
 def parse(page: str) -> list[Node]:
-    """The page's block elements in document order, parents first; unclosed and stray tags are taken as browsers would, roughly."""
+    """The page's block elements in document order, parents first; unclosed and stray tags are taken as browsers would, roughly.
+
+    The time is in proportion to the page's length, whatever is in it.
+    """
     nodes = [Node("html")]
-    stack: list[tuple[str, int]] = [("html", 0)]
+    opened = OpenElements()
+    stack = opened.stack
     text: list[str] = []
     links, dropped, at = 0, 0, 0
     list_end = max((m.start() for m in _LIST_END.finditer(page)), default=-1)
@@ -67,68 +163,54 @@ def parse(page: str) -> list[Node]:
 
     def pop(to: int) -> None:
         nonlocal links, dropped
-        if any(tag in BLOCKS for tag, _ in stack[to:]):
+        if opened.blocks[-1] >= to:
             flush()
-        for tag, _ in stack[to:]:
+        for tag in opened.pop(to):
             links -= tag == "a"
             dropped -= tag in DROPPED
-        del stack[to:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        put(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    tokens = Tokens(page)
+    for begin, end, closes, tag, attributes in tokens:
+        put(page[at:begin])
+        at = end
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
-                    break  # a stray end of an inline element closes no block
+        if closes:
+            k = opened.last(tag)
+            # A stray end of an inline element closes no block.
+            if k and (tag in BLOCKS or opened.blocks[-1] < k):
+                pop(k)
             continue
         if stack[-1][0] == "head" and tag not in IN_HEAD:
             pop(len(stack) - 1)
-        if dropped and tag in BLOCKS and at > list_end:
-            # No end of a list of options follows: the block isn't part of one.
-            for k in range(1, len(stack)):
-                if stack[k][0] in ("select", "option"):
-                    pop(k)
-                    break
+        if dropped and tag in BLOCKS and at > list_end and (k := opened.first("select", "option")):
+            pop(k)  # No end of a list of options follows: the block isn't part of one.
         nodes[stack[-1][1]].tags += 1
         if tag == "br":
             text.append(" ")
-        if tag in ("html", "body") and (tag == "html" or any(t == "body" for t, _ in stack)):
+        if tag == "html" or (tag == "body" and opened.last("body")):
             continue
         if tag in BLOCKS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or stack[k][0] in CLOSED_BY.get(tag, ()):
-                    pop(k)
-                    break
-                if stack[k][0] in _SCOPES and tag not in CLOSED_BY:
-                    break
-                if stack[k][0] in ("table", "ul", "ol", "dl"):
-                    break
+            k = opened.last("p", *CLOSED_BY.get(tag, ()))
+            if k and k >= (opened.lists if tag in CLOSED_BY else opened.scopes)[-1]:
+                pop(k)
             flush()
             words: set[str] = set()
             main = False
-            for name, *values in _ATTRIBUTE.findall(m[3]) if m[3] else ():
+            for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
                 main |= name.lower() == "data-main"
                 words.update(_WORDS.findall("".join(values).lower()))
             above = stack[-1][1]
             nodes.append(Node(tag, frozenset(words), above, nodes[above].depth + 1, main=main))
             nodes[above].children.append(len(nodes) - 1)
             if tag not in VOID:
-                stack.append((tag, len(nodes) - 1))
-        elif tag not in VOID and not m[3].endswith("/"):
+                opened.push(tag, len(nodes) - 1)
+        elif tag not in VOID and not attributes.endswith("/"):
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = tokens.at = close.end() if close else len(page)
                 continue
-            stack.append((tag, stack[-1][1]))
+            opened.push(tag, stack[-1][1])
             links += tag == "a"
             dropped += tag in DROPPED
     put(page[at:])
