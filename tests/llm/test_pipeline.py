@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from tests.llm.helpers import sound_layout
+from tests.llm.helpers import EDGES, documents, prose, sound_layout
 from tests.llm.test_decontam import fewest_edits, form
 from tests.llm.test_near_copies import first_ids
 from tests.oracle import connect
@@ -68,3 +68,21 @@ def test_packing(stages, spark, sf_dir):
     assert sorted({r["doc_id"] for r in packed}) == ids(stages[4]) and sound_layout(packed) > 0
     again = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in again) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed)
+
+
+def corpus(spark, folder, docs) -> str:
+    docs.write.parquet(str(folder / "documents.parquet"))
+    items = [(1, prose(5, 30)), (2, None), (3, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
+def test_odd_rows_clashing_columns_and_an_empty_table(spark, tmp_path):
+    rows = [*EDGES, (20, prose(1, 80)), (20, prose(1, 80)), (21, prose(1, 80)), (None, prose(2, 80)), (22, f"{prose(3, 40)} {prose(5, 30)} {prose(4, 40)}"), (23, prose(6, 80))]
+    (tmp_path / "a").mkdir()
+    found = corpus_pipeline.run(spark, corpus(spark, tmp_path / "a", documents(spark, rows))).collect()
+    ids = {r["doc_id"] for r in found}
+    assert {20, 23, None} <= ids and not ids & {1, 2, 3, 4, 8, 9, 21, 22}
+    assert sum(r["doc_id"] == 20 for r in found) == 1
+    (tmp_path / "b").mkdir()
+    assert corpus_pipeline.run(spark, corpus(spark, tmp_path / "b", documents(spark, rows).limit(0))).collect() == []

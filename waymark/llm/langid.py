@@ -18,7 +18,7 @@ from waymark.llm.common import code_points, filter_rows, held_out, map_rows, set
 
 #: Buckets of n-grams (a power of two), and the orders of n-gram.
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
-#: Labelled documents that the counts are made from, about: the sample is a share of the ids by hash.
+#: Labelled documents that the counts are made from, about: of each language an equal part, by a hash of the ids.
 TRAIN_ROWS = 20_000
 #: Weight of each n-gram in the posterior: neighbouring n-grams overlap, so full weight would make all scores 0 or 1.
 TEMPER = 0.1
@@ -103,13 +103,17 @@ class Model:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Learns from text and lang of the documents that aren't held out; None if no such document has a language and a letter.
 
-    If there are more than `rows` of them, those are learned from whose hashed id falls within rows / count: a sample of
-    whole texts that depends on ids alone.
+    Each language has an equal part of `rows`: of one that has more, those documents are learned from whose hashed id falls
+    within part / count, a sample of whole texts that depends on ids alone; of one that has fewer, all. How frequent
+    languages are is counted on all documents. Rows that repeat count as often.
     """
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    there = docs.select("doc_id", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).count()
-    if there > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * rows / there))
+    there = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    if not there:
+        return None
+    part = rows / len(there)
+    shares = docs.sparkSession.createDataFrame([(lang, int((1 << 30) * min(1.0, part / n))) for lang, n in there.items()], "lang string, below int")
+    labelled = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=object)
@@ -140,13 +144,12 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     sums = settle(partial.repartition(4, F.xxhash64("lang"))).mapInArrow(add, schema).collect()
     if not sums:
         return None
-    n, total = {}, {}
+    total: dict[str, np.ndarray] = {}
     for r in sums:
-        n[r["lang"]] = n.get(r["lang"], 0) + r["n"]
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], "<i8")
-    languages = tuple(sorted(n))
+    languages = tuple(sorted(total))
     counts = np.stack([total[x] for x in languages], axis=1) + 0.5
-    prior = np.log(np.array([n[x] for x in languages]) / sum(n.values()))
+    prior = np.log(np.array([there[x] for x in languages]) / sum(there[x] for x in languages))
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32).copy(order="F"), prior)
 
 
@@ -156,7 +159,8 @@ PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double"
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """The language of every document: a learned one, or und (score 0) without text, letters or a model. No shuffle.
 
-    A row for each row of docs; a null id counts as held out.
+    A row for each row of docs; a null id counts as held out; of languages that are equally likely the first by name is
+    predicted. Texts of any length are scored whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, whatever the corpus
 
@@ -171,12 +175,16 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """The documents whose language is a learned one with at least this score, with all their columns."""
+    """The documents whose language is a learned one with at least this score, with all their columns.
+
+    Rows that repeat and rows without an id are judged each by its text; null texts and texts without a letter go. Without
+    a model, where no row has a language to learn from, there is nothing to judge by and all documents stay.
+    """
+    if model is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(column: pa.Array) -> np.ndarray:
-        if shared.value is None:
-            return np.zeros(len(column), bool)
         best, score = shared.value.score([t or "" for t in column.cast(pa.string()).to_pylist()])
         return (best >= 0) & (score >= least)
 

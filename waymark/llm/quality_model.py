@@ -106,11 +106,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """Learns labels.<label> from the texts of labelled documents that aren't held out, at most `rows` of them.
 
     Which, if there are more, a hash of the id decides. The chosen ids are few by that bound, so they are broadcast to
-    the scan of the documents and no text but theirs moves. Without labelled documents every score is one half.
+    the scan of the documents and no text but theirs moves. Of rows with one id the text that sorts first is learned from,
+    once, with the larger label if labels repeat; null texts count as empty; the number of texts is bounded, not their
+    length. Without labelled documents every score is one half.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(~held_out(F.col("doc_id")) & F.col("label").isin(0, 1))
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     tuned(docs.sparkSession)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
