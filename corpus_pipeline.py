@@ -1,61 +1,7 @@
-"""A training corpus from `documents` in five stages, each written as Parquet and read again as the next one's input.
-
-Quality rules, language identification, near-duplicate removal, benchmark decontamination, packing into sequences.
-"""
+"""The corpus pipeline: its stages, what it returns and the SQL of that; see waymark.llm.pipeline."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from waymark.llm import decontam, langid, near_copies, packing, rules
-from waymark.llm.common import shared_folder
-from waymark.llm.entries import tokenizer
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return rules.keep_documents(docs)
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages of the corpus, as learned from those that have one."""
-    return langid.keep_identified(docs, langid.train(docs))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word shingles of Jaccard similarity 0.8 or more."""
-    return near_copies.one_of_each(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("best_fit_packing", best_fit_packing),
-]
-
-#: SQL can't express language identification, fingerprints or tokenisation; the tests hold run() against brute force.
-ORACLE_SQL = None
-
+from waymark.llm.pipeline import ORACLE_SQL, STAGES, best_fit_packing, decontamination, language_id, near_duplicates, quality_rules, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents. What each returns is written to the folder that all executors share."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "best_fit_packing", "decontamination", "language_id", "near_duplicates", "quality_rules", "run"]
