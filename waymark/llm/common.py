@@ -206,6 +206,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+#: Words of 64 slots in the filter of may_match.
+FILTER_WORDS = 1 << 18
+
+
+def may_match(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key, a hash, may be in keys, by a filter of FILTER_WORDS * 64 slots that is broadcast.
+
+    All that are there stay. A filter that is full lets all rows through.
+    """
+    word, bit = F.pmod(F.shiftright(F.col(key), 6), F.lit(FILTER_WORDS)).cast("int"), F.col(key).bitwiseAND(F.lit(63)).cast("int")
+    slots = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    return df.withColumn("_word", word).join(F.broadcast(slots), "_word").where(F.bit_get("_bits", bit) == 1).select(*df.columns)
+
+
 #: A key with more than one row in so many is hot: by arithmetic there are at most so many of them.
 SHARE = 1000
 

@@ -5,27 +5,26 @@ sets' similarity is verified. But sets that are 0.8 alike differ in about ten bi
 can enumerate. So a second, exact search follows. Of two sets that are so alike, each holds four fifths of the other, so
 in any one order of all shingles the first fifth (and one more) of each has a shingle in common. Rare shingles come first
 in that order: those that many texts share are counted on a sample, which decides how many candidates there are and never
-which pairs are found. Equal sets are one node. All nodes of a shingle meet one of them, a few times over; only what is
-then still in different components meets pair by pair, so a group of many near copies makes no square of candidates.
+which pairs are found. And what two heads have in common, with all that is behind the one that ends first, must leave room
+for four fifths. Equal sets are one node. All nodes of a shingle meet one of them, twice; only what is then still in
+different components meets pair by pair, so a group of many near copies makes no square of candidates.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import simhash
-from waymark.llm.common import blocks, gram_hashes, join_hot, map_rows, mix, run_hashes, settle
+from waymark.llm.common import blocks, gram_hashes, join_hot, map_rows, may_match, mix, run_hashes, settle
 from waymark.operators.matching import components
 
 #: Words of a shingle. Two sets are alike if 5 * common >= 4 * all, that is 9 * common >= 4 * (their sizes' sum).
 SHINGLE = 5
 #: Texts on which shingles are counted, and how many of the frequent ones the order regards. Neither changes the result.
 COUNTED, FREQUENT = 4_000, 200_000
-#: How often all nodes of a shingle meet one of them before those still apart meet pair by pair. It doesn't change the result.
-MEETINGS = 3
 #: Slots of the table by which texts without any candidate are passed over.
 SLOTS = 1 << 20
 
@@ -111,13 +110,22 @@ def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_rows(texts, work, "node long, shingles array<long>").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _may_be_alike(a: Column, b: Column) -> Column:
-    """Whether sizes, and places of a shared shingle in the order, leave room for enough common shingles."""
-    return 9 * (F.least(a["pos"], b["pos"]) + F.least(a["n"] - a["pos"], b["n"] - b["pos"])) >= 4 * (a["n"] + b["n"])
+def _fitting(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) of what met (node, n, other, m: a row for each shingle in common of two heads) that may be alike.
+
+    Of two heads one ends first in the order of all shingles: no shingle of it stands behind the other head. So the sets
+    have no more in common than the heads and all that is behind this one.
+    """
+    turned = F.col("node") > F.col("other")
+    either = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
+    pairs = met.where("node != other").groupBy(either("node", "other").alias("a"), either("other", "node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    common = F.least(F.col("k") + F.expr("(4 * greatest(n, m) + 4) div 5 - 1"), "n", "m")
+    return pairs.where(9 * common >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are alike."""
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are alike; only the sets of these nodes are read from the texts."""
+    sets = settle(_sets(texts, settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
     return both.where(9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")
 
@@ -138,43 +146,41 @@ def _by_fingerprint(once: DataFrame) -> DataFrame:
 def links(texts: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs (a, b) of alike nodes that connect all that are alike."""
     once = settle(heads.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head")))
-    places = once.select("node", "n", F.posexplode("head").alias("pos", "shingle"))
-    x = F.struct("node", "n", "pos")
-    counted = settle(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min(x).alias("y")).where("rows > 1"))
+    places = once.select("node", "n", F.explode("head").alias("shingle"))
+    counted = settle(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     # Of all places only those of shared shingles go on.
-    shared = settle(join_hot(places, counted, "shingle", "rows", how="inner").select("shingle", x.alias("x"), "y"))
-    fitting = shared.where(_may_be_alike(F.col("x"), F.col("y")))
-    tested = settle(_pairs(fitting, "x.node", "y.node").union(_by_fingerprint(once)).distinct())
-    sets = settle(_sets(texts, tested.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    linked = settle(_alike(tested, sets))
-
-    def still_apart() -> DataFrame:
-        """The shared places with their component so far, of shingles whose nodes are in several."""
-        label = settle(components(linked))
-        rooted = settle(shared.select("shingle", "x", F.col("x.node").alias("node")).join(label, "node", "left").select("shingle", "x", F.coalesce("root", "node").alias("root")))
-        shares = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k"), F.min_by("x", F.xxhash64(F.col("x.node"), F.lit(meeting))).alias("y"))
-        # A shingle's largest component, and a node of a component of its own choice to meet.
-        of = shares.groupBy("shingle").agg(F.sum("k").alias("rows"), F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.min_by(F.struct("y", "root"), F.xxhash64(F.col("y.node"), F.lit(meeting))).alias("meet"))
-        return settle(join_hot(rooted, settle(of.where("roots > 1").drop("roots")), "shingle", "rows", how="inner"))
-
-    for meeting in range(MEETINGS):
-        apart = still_apart()
+    shared = settle(join_hot(may_match(places, "shingle", counted), counted, "shingle", "rows", how="inner").select("shingle", "node", "n"))
+    least = settle(shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("node", "n")).alias("y")))
+    met = join_hot(shared, least, "shingle", "rows", how="inner").select("node", "n", F.col("y.node").alias("other"), F.col("y.n").alias("m"))
+    tested = settle(_fitting(met).union(_by_fingerprint(once)).distinct())
+    linked = settle(_alike(tested, texts))
+    for last in (False, True):
+        apart = _apart(shared, linked)
         if apart.isEmpty():
             break
-        if meeting < MEETINGS - 1:
-            met = apart.where(F.col("root") != F.col("meet.root")).select("x", F.col("meet.y").alias("y"))
+        if last:
+            # Each two nodes in different components, unless both are in the shingle's largest, once for each shingle.
+            minor = apart.where("root != main")
+            y = apart.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"), (F.col("root") == F.col("main")).alias("is_main"))
+            met = minor.join(y, "shingle").where((F.col("root") != F.col("its")) & (F.col("is_main") | (F.col("node") > F.col("other"))))
         else:
-            y = apart.select("shingle", F.col("x").alias("y"), F.col("root").alias("other"))
-            minor = apart.where(F.col("root") != F.col("main")).select("shingle", "x", "root")
-            met = minor.join(y, "shingle").where(F.col("root") != F.col("other"))
-        pairs = settle(_pairs(met.where(_may_be_alike(F.col("x"), F.col("y"))), "x.node", "y.node").join(tested, ["a", "b"], "left_anti"))
-        new = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
-        if not (new := settle(new)).isEmpty():
-            sets = settle(sets.union(_sets(texts, new)))
-        tested, linked = settle(tested.union(pairs)), settle(linked.union(_alike(pairs, sets)))
+            met = apart.where("root != meet.root").select("node", "n", F.col("meet.node").alias("other"), F.col("meet.n").alias("m"))
+        pairs = settle(_fitting(met.select("node", "n", "other", "m")).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tested, linked = settle(tested.union(pairs)), settle(linked.union(_alike(pairs, texts)))
     return linked
 
 
+def _apart(shared: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of shingles whose nodes are in several components so far, with theirs, the shingle's largest (main) and a node to meet."""
+    label = settle(components(linked))
+    rooted = settle(shared.join(label, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root")))
+    order = F.xxhash64("node", F.lit(1))
+    shares = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(order.alias("order"), "node", "n", "root")).alias("meet"))
+    groups = shares.groupBy("shingle").agg(F.sum("k").alias("rows"), F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.min("meet").alias("meet"))
+    return settle(join_hot(rooted, settle(groups.where("roots > 1").drop("roots")), "shingle", "rows", how="inner"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the smallest id of their group of near copies, with all their columns.
 
