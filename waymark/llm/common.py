@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -195,6 +196,15 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark's cleaner remove the shuffles of what is settled, and checkpoints (if the session says so), that nothing refers to any more.
+
+    The cleaner learns of them when the driver collects garbage, which a driver with little to do seldom does by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it from there: what follows doesn't compute it again."""
     shared_folder(df.sparkSession)

@@ -6,7 +6,7 @@ can enumerate. So a second, exact search follows. Of two sets that are so alike,
 in any one order of all shingles the first fifth (and one more) of each has a shingle in common. Rare shingles come first
 in that order: those that many texts share are counted on a sample, which decides how many candidates there are and never
 which pairs are found. And what two heads have in common, with all that is behind the one that ends first, must leave room
-for four fifths. Equal sets are one node. All nodes of a shingle meet one of them, twice; only what is then still in
+for four fifths. Equal sets are one node. All nodes of a shingle meet a few of them; only what is then still in
 different components meets pair by pair, so a group of many near copies makes no square of candidates.
 """
 
@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import simhash
-from waymark.llm.common import blocks, gram_hashes, join_hot, map_rows, may_match, mix, run_hashes, settle
+from waymark.llm.common import blocks, gram_hashes, join_hot, map_rows, may_match, mix, release, run_hashes, settle
 from waymark.operators.matching import components
 
 #: Words of a shingle. Two sets are alike if 5 * common >= 4 * all, that is 9 * common >= 4 * (their sizes' sum).
 SHINGLE = 5
 #: Texts on which shingles are counted, and how many of the frequent ones the order regards. Neither changes the result.
 COUNTED, FREQUENT = 4_000, 200_000
+#: Nodes of a shingle, chosen at random, that all others meet before those still apart meet pair by pair. It doesn't change the result.
+MEETINGS = 6
 #: Slots of the table by which texts without any candidate are passed over.
 SLOTS = 1 << 20
 
@@ -143,42 +145,55 @@ def _by_fingerprint(once: DataFrame) -> DataFrame:
     return _pairs(same, "node", "first").union(_pairs(met.join(of("a"), "a").join(of("b"), "b"), "first_a", "first_b"))
 
 
-def links(texts: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs (a, b) of alike nodes that connect all that are alike."""
+def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and node of every row, and pairs (a, b) of alike nodes that connect all that are alike."""
+    spark = texts.sparkSession
+    heads = settle(_heads(texts))
+    rows = settle(heads.select("doc_id", "node"))
     once = settle(heads.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head")))
+    del heads
+    release(spark)
+    prints = settle(once.select("fp", "node"))
     places = once.select("node", "n", F.explode("head").alias("shingle"))
     counted = settle(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     # Of all places only those of shared shingles go on.
     shared = settle(join_hot(may_match(places, "shingle", counted), counted, "shingle", "rows", how="inner").select("shingle", "node", "n"))
+    del once, places, counted
+    release(spark)
     least = settle(shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("node", "n")).alias("y")))
     met = join_hot(shared, least, "shingle", "rows", how="inner").select("node", "n", F.col("y.node").alias("other"), F.col("y.n").alias("m"))
-    tested = settle(_fitting(met).union(_by_fingerprint(once)).distinct())
+    tested = settle(_fitting(met).union(_by_fingerprint(prints)).distinct())
+    del prints, least, met
     linked = settle(_alike(tested, texts))
+    release(spark)
     for last in (False, True):
         apart = _apart(shared, linked)
         if apart.isEmpty():
             break
         if last:
-            # Each two nodes in different components, unless both are in the shingle's largest, once for each shingle.
-            minor = apart.where("root != main")
-            y = apart.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"), (F.col("root") == F.col("main")).alias("is_main"))
+            # Each two nodes in different components once for each shingle. One of them at least isn't in the component of the
+            # first node to meet, which was chosen at random and so is likely to be in the largest.
+            minor = apart.where(F.col("root") != F.get("meet", F.lit(0))["root"])
+            y = apart.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"), (F.col("root") == F.get("meet", F.lit(0))["root"]).alias("is_main"))
             met = minor.join(y, "shingle").where((F.col("root") != F.col("its")) & (F.col("is_main") | (F.col("node") > F.col("other"))))
         else:
-            met = apart.where("root != meet.root").select("node", "n", F.col("meet.node").alias("other"), F.col("meet.n").alias("m"))
+            met = apart.select("node", "n", "root", F.explode("meet").alias("meet")).where("root != meet.root").select("node", "n", F.col("meet.node").alias("other"), F.col("meet.n").alias("m"))
         pairs = settle(_fitting(met.select("node", "n", "other", "m")).join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             tested, linked = settle(tested.union(pairs)), settle(linked.union(_alike(pairs, texts)))
-    return linked
+        del apart, met, pairs
+        release(spark)
+    return rows, linked
 
 
 def _apart(shared: DataFrame, linked: DataFrame) -> DataFrame:
-    """The rows of shingles whose nodes are in several components so far, with theirs, the shingle's largest (main) and a node to meet."""
+    """The rows of shingles whose nodes are in several components so far, with theirs and MEETINGS nodes to meet."""
     label = settle(components(linked))
-    rooted = settle(shared.join(label, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root")))
-    order = F.xxhash64("node", F.lit(1))
-    shares = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(order.alias("order"), "node", "n", "root")).alias("meet"))
-    groups = shares.groupBy("shingle").agg(F.sum("k").alias("rows"), F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.min("meet").alias("meet"))
-    return settle(join_hot(rooted, settle(groups.where("roots > 1").drop("roots")), "shingle", "rows", how="inner"))
+    rooted = shared.join(label, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
+    chosen = [F.min_by(F.struct("node", "n", "root"), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias(f"meet_{k}") for k in range(MEETINGS)]
+    groups = rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"), *chosen)
+    groups = settle(groups.where("low != high").select("shingle", "rows", F.array_distinct(F.array(*[f"meet_{k}" for k in range(MEETINGS)])).alias("meet")))
+    return settle(join_hot(may_match(rooted, "shingle", groups), groups, "shingle", "rows", how="inner"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -188,6 +203,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     a row repeated with its id and text stays once, an empty table gives none. Texts of any length are compared whole.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    heads = settle(_heads(texts))
-    rows = heads.select("doc_id", F.col("node").alias("fingerprint"))
-    return simhash.first_of_each(docs, simhash.with_components(rows, links(texts, heads)))
+    rows, linked = links(texts)
+    return simhash.first_of_each(docs, simhash.with_components(rows.withColumnRenamed("node", "fingerprint"), linked))
