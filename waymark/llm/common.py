@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 #: Rows that go to a Python worker at once: a few MB of text, and one very long text costs no more than itself.
 ARROW_ROWS = 512
 #: Bytes of such a batch, so that rows with long texts make smaller ones.
-ARROW_BYTES = 8_000_000
+ARROW_BYTES = 4_000_000
 #: Bytes of text that one vectorised pass handles; a longer text makes a block of its own.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 250_000
 
 _RNG = np.random.default_rng(20240607)
 #: A random 64-bit value for each byte, and the odd base of the polynomial that orders them.
