@@ -21,15 +21,17 @@ def with_flag(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
 def any_key_join(left: DataFrame, right: DataFrame, on: str, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Rows equal in `on` and in one of the pairs (column of left, of right, label), with the first label that fits.
 
-    The equal key makes it a hash join; the pairs filter what meets. Nulls match nothing.
+    Each pair is a hash join of its own on both keys, so a frequent `on` makes no product; a pair takes what no pair
+    before it took. Nulls match nothing.
     """
     a, b = left.alias("a"), right.alias("b")
-    met = a.join(b, F.col(f"a.{on}") == F.col(f"b.{on}"))
-    fits = [(F.col(f"a.{x}") == F.col(f"b.{y}"), label) for x, y, label in pairs]
-    label = F.lit(None).cast("string")
-    for condition, name in reversed(fits):
-        label = F.when(condition, F.lit(name)).otherwise(label)
-    return met.withColumn("matched_on", label).where("matched_on is not null")
+    out, before = None, F.lit(False)
+    for x, y, label in pairs:
+        same = F.col(f"a.{x}") == F.col(f"b.{y}")
+        met = a.join(b, (F.col(f"a.{on}") == F.col(f"b.{on}")) & same).where(~before).withColumn("matched_on", F.lit(label))
+        out = met if out is None else out.unionAll(met)
+        before = before | F.coalesce(same, F.lit(False))
+    return out
 
 
 def fuzzy_pairs(df: DataFrame, block: Sequence[str], name: str = "name", key: str = "place_id", least: float = 88.0, most_in_block: int | None = None) -> DataFrame:
@@ -175,13 +177,32 @@ def settled_and_pending(rows: DataFrame, ledger: DataFrame, keys: Sequence[str])
 
 
 def nearest(points: DataFrame, gazetteer: DataFrame, cell_degrees: float = 0.5) -> DataFrame:
-    """For each point (id, latitude, longitude) the nearest entry (entry_id, latitude, longitude) in its cell or the eight around it; ties go to smaller ids."""
+    """For each point (id, latitude, longitude) the nearest entry (entry_id, latitude, longitude); ties go to smaller ids.
+
+    A point looks into its own cell and the eight around it. What it finds within a cell's width is the nearest for sure;
+    points without such an entry look again with cells of twice the width, until a cell is as wide as the world. Points
+    without coordinates, and all points if the gazetteer is empty, have a null entry.
+    """
     from waymark.functions.geo import planar
 
-    g = gazetteer.select("entry_id", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.explode(F.array(*[F.struct((F.floor(F.col("latitude") / cell_degrees) + i).alias("_cy"), (F.floor(F.col("longitude") / cell_degrees) + j).alias("_cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_cell")).select("entry_id", "_lat", "_lon", "_cell.*")
-    p = points.withColumns({"_cy": F.floor(F.col("latitude") / cell_degrees), "_cx": F.floor(F.col("longitude") / cell_degrees)})
-    met = p.join(g, ["_cy", "_cx"]).withColumn("_d", planar(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon")))
-    return met.groupBy("id").agg(F.min(F.struct("_d", "entry_id")).alias("best")).select("id", "best.entry_id", F.col("best._d").alias("distance"))
+    entries = gazetteer.where("latitude is not null and longitude is not null").select("entry_id", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    none = points.select("id", F.lit(None).cast(entries.schema["entry_id"].dataType).alias("entry_id"), F.lit(None).cast("double").alias("distance"))
+    out = none.where(points["latitude"].isNull() | points["longitude"].isNull())
+    open_points = points.where("latitude is not null and longitude is not null").select("id", "latitude", "longitude")
+    width = cell_degrees
+    while True:
+        at = lambda lat, lon: {"_cy": F.floor(F.col(lat) / width), "_cx": F.floor(F.col(lon) / width)}  # noqa: E731, B023
+        around = F.array(*[F.struct((F.col("_cy") + i).alias("_cy"), (F.col("_cx") + j).alias("_cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        looking = open_points.withColumns(at("latitude", "longitude")).select("id", "latitude", "longitude", F.explode(around).alias("_c")).select("id", "latitude", "longitude", "_c.*")
+        met = looking.join(entries.withColumns(at("_lat", "_lon")), ["_cy", "_cx"]).withColumn("_d", planar(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon")))
+        best = met.groupBy("id").agg(F.min(F.struct("_d", "entry_id")).alias("best"))
+        found = _kept(open_points.join(best, "id", "left"))
+        last = width > 360
+        out = out.union(found.where(F.lit(last) | (F.col("best._d") <= width)).select("id", "best.entry_id", F.col("best._d").alias("distance")))
+        open_points = found.where(F.coalesce(F.col("best._d") > width, F.lit(True))).select("id", "latitude", "longitude")
+        if last or open_points.isEmpty():
+            return out
+        width *= 2
 
 
 def multiset_delta(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def int_scope(b: Build) -> DataFrame:
     """What the map shows of each place, and why. Research on the place itself comes before its tradition's label, that before its name."""
     t = b["tradition_scope"].select("denomination_key", F.col("scope_status").alias("label"), "display_tradition")
     r = b["stg_results"].select("place_id", "entity_type", "duplicate_of_place_id")
-    d = b["stg_places"].join(F.broadcast(t), F.lower("denomination") == F.col("denomination_key"), "left").join(r, "place_id", "left")  # one row for each tradition
+    d = b["stg_places"].join(t, F.lower("denomination") == F.col("denomination_key"), "left").join(r, "place_id", "left")
     house = F.rlike("listed_name", F.lit("(?i)(convent|monastery|abbey|motherhouse|^sisters of)"))
     kind, label = F.col("entity_type"), F.col("label")
     settles = (kind == "congregation") & (label == "pending")
@@ -173,7 +173,7 @@ def int_place_readiness(b: Build) -> DataFrame:
     checks = _verified(b["stg_checks"], "place", F.col("subject_id").try_cast("long").alias("place_id"))
     pins = b["int_geocodes"].where("subject_type = 'place'").select(F.col("subject_id").try_cast("long").alias("place_id"), "pin_usable", F.col("latitude").alias("pin_latitude"), F.col("longitude").alias("pin_longitude"), F.col("distance_from_current_pin_m").alias("pin_moves"))
     clusters = b["int_clusters"].select("place_id", F.lit(True).alias("in_repeated_cluster"))
-    d = b["stg_places"].drop("phone", "website").join(b["int_scope"], "place_id").join(clusters, "place_id", "left").join(results, "place_id", "left").join(F.broadcast(holds), "place_id", "left").join(checks, "place_id", "left").join(pins, "place_id", "left")  # holds are a handful of rulings
+    d = b["stg_places"].drop("phone", "website").join(b["int_scope"], "place_id").join(clusters, "place_id", "left").join(results, "place_id", "left").join(holds, "place_id", "left").join(checks, "place_id", "left").join(pins, "place_id", "left")
     d = _evidence(d.withColumnRenamed("result_phone", "phone"), b.as_of)
     d = d.withColumns({
         "researched": F.coalesce("researched", F.lit(False)), "in_pilot": F.coalesce(F.col("batch").isin("A_calibration", "B_main"), F.lit(False)), "is_in_scope": F.col("scope_status").isin("in_scope", "in_scope_labeled"),
@@ -266,24 +266,35 @@ def mart_new_places(b: Build) -> DataFrame:
     )
 
 
+#: How a find met a place: what is published comes before the place's shown address, its listed one and the geocoder's.
+_MET = ("published_place", "verified_address", "directory_address", "census_match")
+
+
+def _addresses(df: DataFrame, keys: list[str], ranked: list[tuple[int, str, str]]) -> DataFrame:
+    """A row for each address that a row of df has: keys, the address, whether it is a street or the geocoder's, and its rank."""
+    kinds = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.col(column).alias("address")) for rank, kind, column in ranked])
+    return df.select(*keys, F.explode(kinds).alias("a")).select(*keys, "a.*").where("address is not null")
+
+
 @model
 def mart_directory_matches(b: Build) -> DataFrame:
-    """New finds that the directory has, or that are published already: the same name key, and one address in common."""
+    """New finds that the directory has, or that are published already: the same name key, and one address in common.
+
+    Both sides are long tables of names and addresses, so that one equal join finds whatever address it is that they share.
+    """
     key = lambda street, city: F.when(F.col(street).isNotNull(), address_key(F.col(street), F.col(city), F.lit(None).cast("string")))
-    pins = b["int_geocodes"].where("pin_usable").select("subject_type", "subject_id", "matched_address")
-    pin = lambda kind, name: pins.where(F.col("subject_type") == kind).select(F.col("subject_id").alias(name), "matched_address")
-    n = b["mart_new_places"].join(pin("candidate", "candidate_id"), "candidate_id", "left").select("candidate_id", name_key("candidate_name").alias("name_key"), key("display_street_address", "city").alias("n_addr"), F.col("matched_address").alias("n_matched"))
-    dim = b["dim_place"]
-    names = dim.select("place_id", name_key("display_name").alias("name_key")).union(dim.where("listed_name is not null").select("place_id", name_key("listed_name"))).distinct()
-    names = names.join(n.select("name_key").distinct(), "name_key", "left_semi")
-    raw = b["stg_places"].select("place_id", key("street_text", "city").alias("raw_addr"))
-    d = names.join(dim.select("place_id", key("display_street_address", "city").alias("addr")), "place_id").join(raw, "place_id").join(pin("place", "place_key"), F.col("place_id").cast("string") == F.col("place_key"), "left")
-    d = d.select("place_id", F.lit(None).cast("string").alias("published_candidate_id"), "name_key", "addr", "raw_addr", "matched_address")
-    p = b["stg_published"].join(pin("candidate", "candidate_id"), "candidate_id", "left").select("place_id", F.col("candidate_id").alias("published_candidate_id"), name_key("published_name").alias("name_key"), key("published_street", "city").alias("addr"), F.lit(None).cast("string").alias("raw_addr"), "matched_address")
-    both = n.join(d.unionByName(p), "name_key")
-    met = (F.col("n_addr") == F.col("addr")) | (F.col("n_addr") == F.col("raw_addr")) | (F.col("n_matched") == F.col("matched_address"))
-    on = F.when(F.col("published_candidate_id").isNotNull(), "published_place").when(F.col("n_addr") == F.col("addr"), "verified_address").when(F.col("n_addr") == F.col("raw_addr"), "directory_address").otherwise("census_match")
-    return both.where(met & differs(F.col("published_candidate_id"), F.col("candidate_id"))).select("candidate_id", "place_id", on.alias("matched_on"))
+    pins = b["int_geocodes"].where("pin_usable").select("subject_type", "subject_id", F.col("matched_address").alias("pin"))
+    of_finds = pins.where("subject_type = 'candidate'").select(F.col("subject_id").alias("candidate_id"), "pin")
+    of_places = pins.where("subject_type = 'place'").select(F.col("subject_id").try_cast("long").alias("place_id"), "pin")
+    finds = b["mart_new_places"].join(of_finds, "candidate_id", "left").select("candidate_id", name_key("candidate_name").alias("name"), key("display_street_address", "city").alias("street"), "pin")
+    listed = b["dim_place"].join(b["stg_places"].select("place_id", key("street_text", "city").alias("listed_street")), "place_id").join(of_places, "place_id", "left")
+    listed = listed.select("place_id", F.explode(F.array_distinct(F.array(name_key("display_name"), name_key("listed_name")))).alias("name"), key("display_street_address", "city").alias("street"), "listed_street", "pin")
+    published = b["stg_published"].join(of_finds, "candidate_id", "left").select("place_id", F.col("candidate_id").alias("itself"), name_key("published_name").alias("name"), key("published_street", "city").alias("street"), "pin")
+    there = _addresses(listed.withColumn("itself", F.lit(None).cast("string")), ["place_id", "itself", "name"], [(1, "street", "street"), (2, "street", "listed_street"), (3, "pin", "pin")])
+    there = there.union(_addresses(published, ["place_id", "itself", "name"], [(0, "street", "street"), (0, "pin", "pin")]))
+    met = _addresses(finds, ["candidate_id", "name"], [(0, "street", "street"), (0, "pin", "pin")]).drop("rank").join(there, ["name", "kind", "address"])
+    best = met.where(differs(F.col("itself"), F.col("candidate_id"))).groupBy("candidate_id", "place_id").agg(F.min("rank").alias("rank"))
+    return best.select("candidate_id", "place_id", F.get(F.array(*[F.lit(x) for x in _MET]), F.col("rank")).alias("matched_on"))
 
 
 @model
@@ -337,6 +348,13 @@ def mart_quality_audit(b: Build) -> DataFrame:
     return rolled_up(b["quality_reviews"], "field", counts)
 
 
+def _more_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """A row for each row that a relation has more or less than what it is made from."""
+    n = lambda df, sign: df.agg((sign * F.count(F.lit(1))).alias("n"))
+    off = n(before, 1).unionAll(n(after, -1)).agg(F.abs(F.sum("n")).alias("off"))
+    return off.where("off > 0").select(F.explode(F.sequence(F.lit(1), F.col("off"))).alias("row"))
+
+
 # Assertions (Q3): each gives the rows that break it.
 
 
@@ -355,5 +373,8 @@ def assertions(b: Build) -> dict[str, DataFrame]:
         "no_shared_pin_across_addresses": b["stg_geocodes"].where("geocode_status = 'ok'").groupBy("latitude", "longitude").agg(F.countDistinct(address_key(F.col("geocoded_street"), F.col("geocoded_city"), F.lit(None).cast("string"))).alias("n")).where("n > 1").select("latitude"),
         "new_places_are_not_in_the_directory": b["mart_directory_matches"].select("candidate_id"),
         "published_facts_have_a_source": p.where("address is not null and address_source_type is null").select("place_id"),
+        "usable_pins_are_inside_the_envelope": b["int_geocodes"].where(F.col("pin_usable") & ~geo.in_envelope(F.col("latitude"), F.col("longitude"))).select("subject_id"),
+        "joins_add_no_rows": _more_rows(b["stg_places"], b["dim_place"]).unionAll(_more_rows(b["stg_candidates"], c)),
+        "no_page_address_as_website": p.where(F.contains(F.lower("website"), F.lit("facebook.com"))).select("place_id"),
         "finds_are_not_in_the_directory": b["stg_places"].where("source = 'found'").select("place_id"),
     }

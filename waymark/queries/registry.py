@@ -14,6 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Relations in SQL alone, which the SQL of a query may name; Spark has its own way to them.
+SQL_ONLY: dict[str, str] = {}
+
+
 class Tables:
     """The driver's tables and the fixtures over them, read on demand."""
 
@@ -51,18 +55,19 @@ def query(sql: str | None = None) -> Callable:
 def expanded(sql: str) -> str:
     """The SQL with its fixtures as common table expressions before it."""
     order: list[str] = []
+    known = {**FIXTURES, **SQL_ONLY}
 
     def visit(text: str) -> None:
         for n in _names(text):
-            if n in FIXTURES and n not in order:
-                visit(FIXTURES[n])
+            if n in known and n not in order:
+                visit(known[n])
                 order.append(n)
 
     visit(sql)
     body = sql.format(**{n: n for n in _names(sql)}).strip()
     if not order:
         return body
-    head = ",\n".join(f"{n} AS ({FIXTURES[n].format(**{m: m for m in _names(FIXTURES[n])}).strip()})" for n in order)
+    head = ",\n".join(f"{n} AS ({known[n].format(**{m: m for m in _names(known[n])}).strip()})" for n in order)
     return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
 
 
