@@ -20,12 +20,12 @@ class ChunkEncoder:
     #: Python takes these for white space, the tokenizers take them for symbols: texts with one are encoded whole.
     SEPARATORS = "\x1c\x1d\x1e\x1f"
 
-    def __init__(self, path: str, words: str, most: int = 500_000):
+    def __init__(self, path: str, words: str, most: int = 200_000, most_chars: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.most_chars, self.chars = Tokenizer.from_file(path), most, most_chars, 0
         # Words that have been parted, and have nothing to normalise, need the merges alone.
         parts = {"normalizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
         parts["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
@@ -73,8 +73,9 @@ class ChunkEncoder:
     def texts(self, texts: list[str]) -> list[bytes]:
         """The encoding of each whole text."""
         split = [None if any(c in t for c in self.SEPARATORS) else self.chunks(t) for t in texts]
-        if len(self.met) > self.most:
+        if len(self.met) > self.most or self.chars > self.most_chars:
             self.met.clear()  # most of it is words that don't come again
+            self.chars = 0
         met = self.met
         new: set[str] = set()
         for chunks in split:
@@ -82,6 +83,7 @@ class ChunkEncoder:
                 new.update(chunks)
         if new := new.difference(met):
             self.learn(sorted(new))
+            self.chars += sum(map(len, new))
         return [b"".join([met[c] for c in chunks]) if chunks is not None else self.encoded([t])[0] for t, chunks in zip(texts, split, strict=True)]
 
 
