@@ -59,3 +59,9 @@ def tiles(spark: SparkSession, south: float, west: float, north: float, east: fl
         F.col("id").alias("tile"), (south + F.col("row") * height).alias("south"), (west + F.col("column") * width).alias("west"),
         (south + (F.col("row") + 1) * height).alias("north"), (west + (F.col("column") + 1) * width).alias("east"),
     )
+
+
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """The cosine of two vectors of one length, null if one has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))

@@ -68,19 +68,19 @@ def prompt_fingerprint(version: Column, prompt: Column, model: Column) -> Column
     return F.substring(F.sha2(F.concat(version, F.lit("\x00"), prompt, F.lit("\x00"), model), 256), 1, 16)
 
 
-#: Street words that are written short.
+#: Street words that are written short.
 STREET_WORDS = {
-    "STREET": "ST", "AVENUE": "AVE", "BOULEVARD": "BLVD", "ROAD": "RD", "DRIVE": "DR", "LANE": "LN", "COURT": "CT", "PLACE": "PL", "HIGHWAY": "HWY", "PARKWAY": "PKWY",
-    "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "FIRST": "1ST", "SECOND": "2ND", "THIRD": "3RD", "FOURTH": "4TH", "FIFTH": "5TH",
+    "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW",
+    "STREET": "ST", "ROAD": "RD", "AVENUE": "AVE", "BOULEVARD": "BLVD", "DRIVE": "DR", "COURT": "CT", "CIRCLE": "CIR", "HIGHWAY": "HWY", "LANE": "LN", "PLACE": "PL", "TERRACE": "TER", "PARKWAY": "PKWY",
+    "FIRST": "1ST", "SECOND": "2ND", "THIRD": "3RD", "FOURTH": "4TH", "FIFTH": "5TH", "SIXTH": "6TH", "SEVENTH": "7TH", "EIGHTH": "8TH", "NINTH": "9TH", "TENTH": "10TH", "SEVENTEENTH": "17TH",
 }
 
 
 def postal_street(column: Column | str) -> Column:
-    """A street in upper case without its unit, words in their short form."""
-    bare = F.regexp_replace(F.upper(column), r"\s*(#|\b(APT|SUITE|STE|UNIT|RM|ROOM|BLDG)\b).*$", "")
+    """A street in upper case up to its unit, words in their short form."""
+    bare = F.regexp_replace(F.upper(column), r"(?s)(,|#|\(|\b(SUITE|STE|BLDG|BUILDING|APT|UNIT)\b).*$", "")
     short = F.create_map(*[F.lit(x) for pair in STREET_WORDS.items() for x in pair])
-    words = F.filter(F.split(F.regexp_replace(bare, r"[^A-Z0-9 ]", " "), " +"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
+    return F.array_join(F.transform(F.regexp_extract_all(bare, F.lit("([A-Z0-9]+)"), 1), lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
 
 
 def truncate_words(column: Column | str, most: int) -> Column:
@@ -91,11 +91,21 @@ def truncate_words(column: Column | str, most: int) -> Column:
     return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.when(at_space != "", at_space).otherwise(head), F.lit("…")))
 
 
-def language_list(column: Column | str, aliases: dict[str, str]) -> Column:
-    """A list split at ; , / or "and", trimmed, aliases resolved, each once in order of first mention, joined by ;."""
+#: Names of languages as they are written, and the name that is kept.
+LANGUAGE_NAMES = {
+    "mandarin": "Mandarin", "國語": "Mandarin", "国语": "Mandarin", "普通話": "Mandarin", "普通话": "Mandarin", "cantonese": "Cantonese", "粵語": "Cantonese", "粤语": "Cantonese", "廣東話": "Cantonese",
+    "taiwanese": "Taiwanese", "台語": "Taiwanese", "台语": "Taiwanese", "chinese": "Chinese", "中文": "Chinese", "english": "English", "spanish": "Spanish", "español": "Spanish", "korean": "Korean",
+    "vietnamese": "Vietnamese", "tagalog": "Tagalog", "filipino": "Tagalog", "japanese": "Japanese",
+}
+
+
+def language_list(column: Column | str, aliases: dict[str, str] = LANGUAGE_NAMES) -> Column:
+    """A list split at ; , / 、 or "and", trimmed, aliases resolved, other names with a capital, each once in order of first mention, joined by ;. Null gives an empty text."""
     named = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else F.expr("cast(map() as map<string,string>)")
-    parts = F.filter(F.transform(F.split(column, r"[;,/、]|\s+and\s+"), F.btrim), lambda x: x != "")
-    return F.array_join(F.array_distinct(F.transform(parts, lambda x: F.coalesce(F.try_element_at(named, F.lower(x)), x))), ";")
+    column = F.col(column) if isinstance(column, str) else column
+    parts = F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), r"[;,/、]|\band\b"), lambda p: F.btrim(p)), lambda x: x != "")
+    capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))
+    return F.array_join(F.array_distinct(F.transform(parts, lambda x: F.coalesce(F.try_element_at(named, F.lower(x)), capital(x)))), ";")
 
 
 def clock_times(column: Column | str) -> Column:

@@ -235,3 +235,11 @@ def page_of_group(df: DataFrame, group: str, key: str, page: int, size: int = 6)
 def merge_pages(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """The rows of two pages, those of the first taken where both have a key."""
     return first.unionByName(second.join(first.select(key), key, "left_anti"))
+
+
+def absent(new: DataFrame, known: DataFrame, words: Sequence[str], identity: str) -> DataFrame:
+    """The new rows whose words, case aside, and whose identity aren't known yet; null words count as blank. Two anti-joins."""
+    folded = [F.lower(F.coalesce(w, F.lit(""))).alias(f"_{w}") for w in words]
+    seen = known.select(*folded).distinct()
+    rows = new.select("*", *folded).join(seen, [f"_{w}" for w in words], "left_anti").drop(*[f"_{w}" for w in words])
+    return rows.join(known.select(identity).where(F.col(identity).isNotNull()).distinct(), identity, "left_anti").select(*new.columns)

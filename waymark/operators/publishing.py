@@ -97,3 +97,14 @@ def audit_worksheet(answers: DataFrame, truth: DataFrame) -> DataFrame:
     return both.withColumn("verdict", F.when(same.isNull(), "needs_review").when(same, "agree").otherwise("disagree"))
 
 
+def facts(df: DataFrame, key: str, groups: Sequence[str]) -> DataFrame:
+    """a row for each group of facts of a row that has both a source and an excerpt: key, field, source_url, excerpt."""
+    each = F.array(*[F.struct(F.lit(g).alias("field"), F.btrim(f"{g}_source_url").alias("source_url"), F.col(f"{g}_excerpt").alias("excerpt")) for g in groups])
+    return df.select(key, F.explode(each).alias("_f")).select(key, "_f.*").where("source_url <> '' and btrim(excerpt) <> ''")
+
+
+def with_evidence(rows: DataFrame, parts: Sequence[DataFrame], key: str) -> DataFrame:
+    """Rows with the columns of each part, which has a key once; rows without evidence stay."""
+    for part in parts:
+        rows = rows.join(part, key, "left")
+    return rows

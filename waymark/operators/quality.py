@@ -99,3 +99,11 @@ def copy_matches(source_rows: Column, target_rows: Column, exact_up_to: int = 10
 def all_succeeded(nodes: DataFrame) -> DataFrame:
     """Q18: one row, whether every node of a run succeeded and there is one."""
     return nodes.agg((F.coalesce(F.bool_and(F.col("status") == "success"), F.lit(False))).alias("complete"))
+
+
+def cache_states(wanted: DataFrame, kept: DataFrame, key: str, version: str) -> DataFrame:
+    """Q14: each key's cached result: missing, orphan, stale (made from another version) or fresh."""
+    a = wanted.select(key, F.struct(version).alias("_wanted"))
+    b = kept.select(key, F.struct(version).alias("_kept"))
+    state = F.when(F.col("_kept").isNull(), "missing").when(F.col("_wanted").isNull(), "orphan").when(F.col(f"_wanted.{version}").eqNullSafe(F.col(f"_kept.{version}")), "fresh").otherwise("stale")
+    return a.join(b, key, "full_outer").select(key, state.alias("state"))

@@ -229,3 +229,8 @@ def listed_tags(tags: Column | str, keys: Sequence[str], most: int = 200) -> Col
 
     entries = F.array(*[F.struct(F.lit(k).alias("key"), truncate_words(jsonx.at(tags, k), most).alias("value")) for k in keys])
     return F.map_from_entries(F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+
+
+def best(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows; an order that ends with the input's key keeps ties as they came."""
+    return df.orderBy(*order).limit(k)

@@ -107,3 +107,9 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     """W2 without a sort: the row with the greatest values of the order columns, pre-aggregated before the shuffle, so a key with very many rows is no burden."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def child_counts(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
+    """Parents with the number of their children; children are counted before the join."""
+    counted = children.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    return parents.join(counted, key, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))

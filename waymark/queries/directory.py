@@ -222,14 +222,17 @@ def content_hashes(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT doc_id, item_id, d.text AS t, b.text AS e, (length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) AS n, (length(d.text) - length(replace(lower(d.text), lower(b.text), ''))) / length(b.text) AS m
-  FROM {documents} d JOIN {benchmark} b ON d.doc_id % 20 = b.item_id % 20 AND d.doc_id % 40 = b.item_id)
-SELECT doc_id, item_id, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' WHEN m = 1 THEN 'folded' WHEN m > 1 THEN 'ambiguous' ELSE 'missing' END AS status,
+WITH w AS (SELECT doc_id, text AS t, list_filter(string_split_regex(text, '[ \\n\\t]+'), lambda x: x <> '') AS w FROM {documents}),
+q AS (SELECT doc_id, t, CASE WHEN doc_id % 3 = 0 THEN translate(array_to_string(w[3:6], ' '), 'aeiou', 'AEIOU') ELSE array_to_string(w[3:6], ' ') END AS e FROM w),
+x AS (SELECT *, (length(t) - length(replace(t, e, ''))) // nullif(length(e), 0) AS n, (length(t) - length(replace(lower(t), lower(e), ''))) // nullif(length(e), 0) AS m FROM q)
+SELECT doc_id, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' WHEN m = 1 THEN 'folded' WHEN m > 1 THEN 'ambiguous' ELSE 'missing' END AS status,
   CASE WHEN n = 1 THEN strpos(t, e) - 1 WHEN n = 0 AND m = 1 THEN strpos(lower(t), lower(e)) - 1 END AS start FROM x""")
 def locate_once(t: Tables) -> DataFrame:
-    """Where an item stands in its document, if once."""
-    met = t.documents.join(t.benchmark.withColumnRenamed("text", "item"), F.col("doc_id") % 40 == F.col("item_id"))
-    return met.select("doc_id", "item_id", text.locate_once(F.col("item"), F.col("text")).alias("at")).select("doc_id", "item_id", "at.status", "at.start")
+    """Where four words of each document stand in its whole text, if once; vowels of every third document's in capitals."""
+    words = F.filter(F.split("text", r"[ \n\t]+"), lambda w: w != "")
+    quoted = F.array_join(F.slice(words, 3, 4), " ")
+    quoted = F.when(F.col("doc_id") % 3 == 0, F.translate(quoted, "aeiou", "AEIOU")).otherwise(quoted)
+    return t.documents.select("doc_id", text.locate_once(quoted, F.col("text")).alias("at")).select("doc_id", "at.status", "at.start")
 
 
 @query()
