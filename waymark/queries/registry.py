@@ -99,13 +99,13 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
 SELECT o_orderkey AS review_id, o_custkey AS place_id, CAST(1 + o_orderkey % 5 AS DOUBLE) AS rating,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(3 + o_orderkey % 3 AS DOUBLE) END AS childrens_programs,
   CAST(1 + (o_orderkey * 7) % 5 AS DOUBLE) AS sermon_depth, o_orderdate AS created_at
-FROM {orders} WHERE o_custkey % 4 <> 3 AND o_orderkey % 2 = 0""",
+FROM {orders}""",
     "programs": """
-SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey % 1500 AS place_id,
+SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS place_id,
   CASE WHEN l_linenumber % 3 = 0 THEN 'weekday_care' ELSE 'sunday' END AS program_type, l_linenumber % 5 AS band
-FROM {lineitem} WHERE l_orderkey % 6 = 0""",
+FROM {lineitem}""",
     "artifacts": """
-SELECT event_id AS artifact_id, user_id % 200 AS subject_id, event_type AS kind, ts AS seen_at, event_id % 4 <> 0 AS ok,
+SELECT event_id AS artifact_id, user_id AS subject_id, event_type AS kind, ts AS seen_at, event_id % 4 <> 0 AS ok,
   CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'pending' ELSE 'ok' END AS status
 FROM {events}""",
 }
