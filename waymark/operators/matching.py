@@ -119,10 +119,26 @@ def ranked_match(wanted: DataFrame, candidates: Sequence[DataFrame], key: str) -
 
 
 def token_set_pairs(left: DataFrame, right: DataFrame, block: str, tokens: str = "tokens", key: str = "id") -> DataFrame:
-    """Pairs of a block with alike token sets. Rows meet on a shared token within the block, so unlike names never do."""
-    a = left.select(F.col(key).alias("a"), block, F.col(tokens).alias("_ta"), F.explode(tokens).alias("_token"))
-    b = right.select(F.col(key).alias("b"), block, F.col(tokens).alias("_tb"), F.explode(tokens).alias("_token"))
-    return a.join(b, [block, "_token"]).where(same_name(F.col("_ta"), F.col("_tb"))).select("a", "b").distinct()
+    """Pairs of a block with alike token sets (`same_name`).
+
+    Tokens are put in one order, rare ones of the block first. Sets with a Jaccard index of 0.6 share a token among the
+    first two fifths (and one more) of each; a set within another shares its own first token with it. So rows meet on these
+    alone, and a frequent token brings together only rows that have nothing rarer. Repeated rows and sets without a token are allowed.
+    """
+
+    def exploded(df: DataFrame) -> DataFrame:
+        return df.select(F.col(key).alias("_id"), block, F.col(tokens).alias("_set"), F.explode(tokens).alias("_token"))
+
+    counts = exploded(left).union(exploded(right)).groupBy(block, "_token").agg(F.count(F.lit(1)).alias("_rows"))
+    rarest = Window.partitionBy(block, "_id", "_set").orderBy("_rows", "_token")
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        at = exploded(df).join(counts, [block, "_token"]).withColumn("_at", F.dense_rank().over(rarest))
+        return at.select(block, "_token", F.col("_id").alias(name), F.col("_set").alias(f"_{name}"), (F.col("_at") == 1).alias(f"_first_{name}"), (F.col("_at") <= F.expr("size(_set) - (3 * size(_set) + 4) div 5 + 1")).alias(f"_early_{name}"))
+
+    a, b = placed(left, "a"), placed(right, "b")
+    met = [x.join(y, [block, "_token"]) for x, y in ((a.where("_early_a"), b.where("_early_b")), (a.where("_first_a"), b), (a, b.where("_first_b")))]
+    return reduce(DataFrame.unionByName, met).where(same_name(F.col("_a"), F.col("_b"))).select("a", "b").distinct()
 
 
 def in_ranges(houses: DataFrame, segments: DataFrame, keys: Sequence[str]) -> DataFrame:
