@@ -137,7 +137,8 @@ def token_set_pairs(left: DataFrame, right: DataFrame, block: str, tokens: str =
         return at.select(block, "_token", F.col("_id").alias(name), F.col("_set").alias(f"_{name}"), (F.col("_at") == 1).alias(f"_first_{name}"), (F.col("_at") <= F.expr("size(_set) - (3 * size(_set) + 4) div 5 + 1")).alias(f"_early_{name}"))
 
     a, b = placed(left, "a"), placed(right, "b")
-    met = [x.join(y, [block, "_token"]) for x, y in ((a.where("_early_a"), b.where("_early_b")), (a.where("_first_a"), b), (a, b.where("_first_b")))]
+    sides = ((a.where("_early_a"), b.where("_early_b"), "true"), (a.where("_first_a"), b.where("not _early_b"), "size(_a) <= size(_b)"), (a.where("not _early_a"), b.where("_first_b"), "size(_b) <= size(_a)"))
+    met = [x.join(y, [block, "_token"]).where(fits) for x, y, fits in sides]
     return reduce(DataFrame.unionByName, met).where(same_name(F.col("_a"), F.col("_b"))).select("a", "b").distinct()
 
 

@@ -91,14 +91,19 @@ def carried_over(checks: DataFrame, history: DataFrame, keys: Sequence[str], tra
 
     checks and history: keys, verdict, checked_at. Decisive are verdicts that aren't transient. Adds final and carried_over.
     """
-    past = history.where(~F.col("verdict").isin(*transient)).select(*keys, F.col("verdict").alias("_v"), F.col("checked_at").alias("_at"))
-    failed = checks.where(F.col("verdict").isin(*transient))
-    met = failed.join(past, list(keys)).where(F.col("_at") <= F.col("checked_at"))
-    last = met.groupBy(*keys, "checked_at").agg(F.max(F.struct("_at", "_v")).alias("_last"))
-    out = checks.join(last, [*keys, "checked_at"], "left")
-    holds = F.col("verdict").isin(*transient) & (F.col("_last._v") == "verified") & (F.col("checked_at") <= F.col("_last._at") + F.expr(f"INTERVAL {days} DAYS"))
+    is_transient = F.coalesce(F.col("verdict").isin(*transient), F.lit(False))
+    past = history.where(~F.col("verdict").isin(*transient)).where(F.col("checked_at").isNotNull())
+    past = past.select(*keys, F.struct("checked_at", "verdict").alias("_past"), F.col("checked_at").alias("_at"), F.col("verdict").alias("_v"))
+    timeline = checks.where(is_transient).withColumn("_at", F.col("checked_at")).withColumn("_is_check", F.lit(True)).unionByName(past, allowMissingColumns=True)
+    # One pass over a key's times: of a time's rows the history comes first, its largest verdict last.
+    before = Window.partitionBy(*keys).orderBy("_at", F.coalesce("_is_check", F.lit(False)), "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    failed = timeline.withColumn("_last", F.last("_past", ignorenulls=True).over(before)).where("_is_check")
+    holds = (F.col("_last.verdict") == "verified") & (F.col("checked_at") <= F.col("_last.checked_at") + F.expr(f"INTERVAL {days} DAYS"))
+    for key in keys:
+        holds = holds & F.col(key).isNotNull()
     holds = F.coalesce(holds, F.lit(False))
-    return out.select(*checks.columns, F.when(holds, F.lit("verified")).otherwise(F.col("verdict")).alias("final"), holds.alias("carried_over"))
+    kept = checks.where(~is_transient).select(*checks.columns, F.col("verdict").alias("final"), F.lit(False).alias("carried_over"))
+    return kept.unionByName(failed.select(*checks.columns, F.when(holds, F.lit("verified")).otherwise(F.col("verdict")).alias("final"), holds.alias("carried_over")))
 
 
 def attached_verdicts(facts: DataFrame, checks: DataFrame, keys: Sequence[str]) -> DataFrame:
