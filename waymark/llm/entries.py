@@ -91,6 +91,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm import ngram_join
+
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_warc, op3_best_fit_packing, op4_quality_classifier, op5_html_text, op6_quality_rules, op7_simhash, op8_license_scan, op9_language_id, op10_decontamination,
-        op12_embedding_whitening,
+        op12_embedding_whitening, op13_ngram_jaccard,
         pipeline,
     )
 }
