@@ -85,6 +85,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm import spelling
+
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm import whitening
 
@@ -107,7 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_warc, op3_best_fit_packing, op4_quality_classifier, op5_html_text, op6_quality_rules, op7_simhash, op8_license_scan, op9_language_id, op10_decontamination,
-        op12_embedding_whitening, op13_ngram_jaccard,
+        op11_spelling_variants, op12_embedding_whitening, op13_ngram_jaccard,
         pipeline,
     )
 }
