@@ -142,17 +142,6 @@ def token_set_pairs(left: DataFrame, right: DataFrame, block: str, tokens: str =
     return reduce(DataFrame.unionByName, met).where(same_name(F.col("_a"), F.col("_b"))).select("a", "b").distinct()
 
 
-def in_ranges(houses: DataFrame, segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Houses on segments equal in keys whose number range holds theirs, with their parity. houses: number; segments: low, high (low's parity counts)."""
-    met = houses.join(segments, list(keys))
-    return met.where(F.col("number").between(F.least("low", "high"), F.greatest("low", "high")) & (F.col("number") % 2 == F.col("low") % 2))
-
-
-def only_segment(met: DataFrame, key: str, segment: str, expected: str) -> DataFrame:
-    """Whether the segments that cover a house are just the expected one."""
-    return met.groupBy(key, expected).agg(F.min(segment).alias("_a"), F.max(segment).alias("_b")).withColumn("proved", (F.col("_a") == F.col(expected)) & (F.col("_b") == F.col(expected))).drop("_a", "_b")
-
-
 def trimmed_box(points: DataFrame, share: int = 50, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """One row, the box of the points without the n // share outermost on each side.
 

@@ -119,11 +119,6 @@ def resourced(facts: DataFrame, pages: DataFrame, key: str, states: Column, orde
     return met.groupBy(key, "fact_id").agg(F.min_by("url", F.struct(*order)).alias("url"))
 
 
-def forgotten(ledger: DataFrame, reclassified: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The ledger without the reviews of what is classified anew."""
-    return ledger.join(reclassified.select(*keys).distinct(), list(keys), "left_anti")
-
-
 def without_listed(df: DataFrame, listed: DataFrame, key: str, unchanged: Column) -> DataFrame:
     """Df without the rows of listed keys that still look as expected; a changed one stays, one that can't be told too."""
     marked = listed.select(key).distinct().withColumn("_listed", F.lit(True))

@@ -248,16 +248,6 @@ def or_join_dups(t: Tables) -> DataFrame:
     return matching.any_key_join(s, c, "k", [("x", "x", "first"), ("y", "y", "second")]).select("s_suppkey", "c_custkey", "matched_on")
 
 
-@query("""
-SELECT h.p_partkey AS house, s.s_suppkey AS segment FROM {part} h JOIN {supplier} s ON h.p_partkey % 25 = s.s_nationkey
-WHERE h.p_size BETWEEN s.s_suppkey % 20 AND s.s_suppkey % 20 + 15 AND h.p_size % 2 = (s.s_suppkey % 20) % 2""")
-def house_range_join(t: Tables) -> DataFrame:
-    """Numbers within ranges of their parity."""
-    houses = t.part.select(F.col("p_partkey").alias("house"), (F.col("p_partkey") % 25).alias("street"), F.col("p_size").alias("number"))
-    segments = t.supplier.select(F.col("s_suppkey").alias("segment"), F.col("s_nationkey").cast("long").alias("street"), (F.col("s_suppkey") % 20).alias("low"), (F.col("s_suppkey") % 20 + 15).alias("high"))
-    return matching.in_ranges(houses, segments, ["street"]).select("house", "segment")
-
-
 @query("""
 WITH p AS (SELECT latitude, longitude FROM {places} WHERE latitude IS NOT NULL AND longitude IS NOT NULL), n AS (SELECT count(*) // 50 AS c FROM p),
 a AS (SELECT latitude, row_number() OVER (ORDER BY latitude) AS up, row_number() OVER (ORDER BY latitude DESC) AS down FROM p), o AS (SELECT longitude, row_number() OVER (ORDER BY longitude) AS up, row_number() OVER (ORDER BY longitude DESC) AS down FROM p)
