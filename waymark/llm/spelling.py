@@ -31,7 +31,7 @@ LENGTH, OCCURRENCES, TIMES = 7, 2, 10
 #: One run in so many (by its hash) has a code point deleted.
 DELETED = 31
 #: Words that the upper cuts are fitted on, and entries of a leaf that they aim at; a task holds so many entries at most.
-SAMPLE, LEAF, MOST = 100_000, 4_096, 16_384
+SAMPLE, LEAF, MOST = 100_000, 16_384, 65_536
 #: Entries of a leaf of the tree within a task.
 SMALL = 16
 #: Slots of a vector: a letter each for a to z, the others by their code point.
