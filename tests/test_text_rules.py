@@ -5,35 +5,38 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import labels, udfs
+from waymark.functions import excerpts, labels, udfs
 
 
-@pytest.mark.parametrize(
-    ("excerpt", "page", "verdict"),
-    [
-        ("9402 Main", "We meet at 19402 Main Street", "not_found"),
-        ("9402 Main", "We meet at 9402 Main Street", "verified"),
-        ("9 am", "At 9 amen", "not_found"),
-        ("Sunday worship 9am", "SUNDAY worship, 9 AM", "verified"),
-        ("Sunday worship / 9 am", "Sunday worship at 11 am", "partial"),
-        ("Sunday worship / 9 am", "Sunday worship at 9 am", "verified"),
-        ("Sunday worship / 9 am", "Sunday worship " + "word " * 100 + "9 am", "partial"),
-        ("Sunday worship", "Sun day wor ship", "verified"),
-        ("The site footer has 2019", "Welcome", "not_an_excerpt"),
-        ("", "Welcome", "not_found"),
-        (None, None, "not_found"),
-    ],
-)
-def test_excerpt(excerpt, page, verdict):
-    assert udfs.check_excerpt(excerpt, page)[0] == verdict
+EXCERPTS = [
+    ("9402 Main", "We meet at 19402 Main Street", ("not_found", 0, 1, "")),
+    ("9402 Main", "We meet at 9402 Main Street", ("verified", 1, 1, "exact")),
+    ("9 am", "At 9 amen", ("not_found", 0, 1, "")),
+    ("Sunday worship 9am", "SUNDAY worship, 9 AM", ("verified", 1, 1, "exact")),
+    ("Sunday worship / 9 am", "Sunday worship at 11 am", ("partial", 1, 2, "exact")),
+    ("Sunday worship / 9 am", "Sunday worship at 9 am", ("verified", 2, 2, "exact")),
+    ("Sunday worship / 9 am", "Sunday worship " + "word " * 100 + "9 am", ("partial", 1, 2, "exact")),
+    ("Sunday worship / 9 am", "9 am " + "word " * 100 + "Sunday worship, x9 am. 9 amen, at 9 am", ("verified", 2, 2, "exact")),
+    ("Sunday worship", "Sun day wor ship", ("verified", 1, 1, "loose")),
+    ("The site footer has 2019", "Welcome", ("not_an_excerpt", 0, 1, "")),
+    ("", "Welcome", ("not_found", 0, 1, "")),
+    (None, None, ("not_found", 0, 1, "")),
+    (" … ", "Welcome", ("not_found", 0, 1, "")),
+    ("Sun day worship", "Sunday worship", ("verified", 1, 1, "loose")),
+    ("call 5528 1430 today", "call 55281430 today", ("not_found", 0, 1, "")),
+    ("ome " + "one two three " * 14 + "welc", "Welcome home " + "one two three " * 14 + "welcome", ("verified", 1, 1, "exact")),
+    ("a" * 5 + " longer words — other words", "other words. longer words", ("partial", 1, 2, "exact")),
+    ("ﬁrst ﬂoor … ２４ rooms", "First floor with 24 rooms", ("verified", 2, 2, "exact")),
+    ("主日崇拜 … 團契聚會時間", "歡迎參加主日崇拜及團契聚會時間", ("verified", 2, 2, "exact")),
+    ("one two three four; five six seven", "five six seven, then one two three four", ("verified", 2, 2, "exact")),
+    ("welcome / to be / us all", "welcome " + "x " * 120 + "to be " + "y " * 200 + " us all", ("partial", 2, 3, "exact")),
+]
 
 
-def test_excerpt_ways():
-    assert udfs.check_excerpt("Sun day worship", "Sunday worship") == ("verified", 1, 1, "loose")
-    assert udfs.check_excerpt("call 5528 1430 today", "call 55281430 today") == ("not_found", 0, 1, "")
-    cut = "ome " + "one two three " * 14 + "welc"
-    assert udfs.check_excerpt(cut, "Welcome home " + "one two three " * 14 + "welcome")[0] == "verified"
-    assert udfs.check_excerpt("a" * 5 + " longer words — other words", "other words. longer words")[:3] == ("partial", 1, 2)
+def test_excerpts(spark):
+    rows = spark.createDataFrame([(k, e, p) for k, (e, p, _) in enumerate(EXCERPTS)], "id int, excerpt string, page string")
+    found = {r["id"]: tuple(r["v"]) for r in excerpts.with_excerpt_verdict(rows, "excerpt", "page", "v").collect()}
+    assert [(*e, found[k]) for k, e in enumerate(EXCERPTS) if found[k] != e[2]] == []
 
 
 @pytest.mark.parametrize(

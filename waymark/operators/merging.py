@@ -51,26 +51,6 @@ def corrected(state: DataFrame, fixes: DataFrame, key: str, columns: Sequence[st
     return out.select(*[fixed(c) if c in columns else F.col(c) for c in state.columns])
 
 
-def blanked(facts: DataFrame, stale: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The columns of facts whose keys are stale become null."""
-    flags = stale.select(*keys).distinct().withColumn("_stale", F.lit(True))
-    out = facts.join(flags, list(keys), "left")
-    return out.select(*[F.when(F.col("_stale").isNull(), F.col(c)).alias(c) if c in columns else F.col(c) for c in facts.columns])
-
-
-def overlaid(results: DataFrame, overlay: DataFrame, key: str, columns: Sequence[str], pass_column: str = "pass_no") -> DataFrame:
-    """The newest result of each key, with the overlay's columns where its own newest answer isn't older and its fingerprint still fits.
-
-    overlay: key, pass column, fingerprint (null: fits any) and columns; results: fingerprint too. A newer result takes
-    the columns back.
-    """
-    base = latest_by(results, [key], [pass_column])
-    top = latest_by(overlay, [key], [pass_column]).select(key, F.col(pass_column).alias("_pass"), F.col("fingerprint").alias("_fp"), *[F.col(c).alias(f"_o_{c}") for c in columns])
-    out = base.join(top, key, "left")
-    holds = F.coalesce((F.col("_pass") >= F.col(pass_column)) & (F.col("_fp").isNull() | (F.col("_fp") == F.col("fingerprint"))), F.lit(False))
-    return out.select(*[F.when(holds, F.col(f"_o_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in results.columns])
-
-
 def numbered(df: DataFrame, file: str, order: Sequence[str]) -> DataFrame:
     """Rows numbered within their file, and the id `<file>-NN`."""
     out = df.withColumn("row_no", F.row_number().over(Window.partitionBy(file).orderBy(*order)))

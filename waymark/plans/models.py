@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,9 @@ MODELS: dict[str, Callable[[Build], DataFrame]] = {}
 class Build:
     """Inputs by name, the date as of which facts are fresh, and the models that have been asked for."""
 
-    def __init__(self, inputs: Mapping[str, DataFrame], as_of: date):
-        self.inputs, self.as_of, self._made = inputs, as_of, {}
+    def __init__(self, inputs: Mapping[str, DataFrame], as_of: date, given: Mapping[str, DataFrame] | None = None):
+        """given: models that are taken as they are instead of being made."""
+        self.inputs, self.as_of, self._made = inputs, as_of, dict(given or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -358,13 +360,35 @@ def _more_rows(before: DataFrame, after: DataFrame) -> DataFrame:
 # Assertions (Q3): each gives the rows that break it.
 
 
+#: The lettered rounds, passes and tasks; work packages are known by their pattern.
+KNOWN_BATCHES = ("A_calibration", "B_main", "C_main", "D_main", "F_main")
+KNOWN_PASSES = ("A", "A_redo", "A_fbcheck", "B", "FB1", "E", "C", "D", "F", "H")
+KNOWN_TASKS = ("A", "B", "CN", "C", "D", "E", "F", "L", "H")
+PACKAGE = "^WP[0-9]{4}$"
+_SHOWN = ("address", "phone", "service", "kids")
+
+
+def _any(conditions: list[Column]) -> Column:
+    return F.exists(F.array(*conditions), lambda x: F.coalesce(x, F.lit(False)))
+
+
 def assertions(b: Build) -> dict[str, DataFrame]:
     """What must be empty after every build."""
-    r, c, p = b["int_place_readiness"], b["int_candidate_readiness"], b["mart_publish_places"]
-    page_fact = lambda f: F.col(f"{f}_displayable") & (F.col(f"{f}_source_type") == "fb_page") & ~(F.col("verified_active") & F.col("fb_page_fresh"))
+    r, c, p, n, m = b["int_place_readiness"], b["int_candidate_readiness"], b["mart_publish_places"], b["mart_publish_new"], b["stg_results"]
+    of = lambda df, condition, key: df.where(condition).select(F.col(key).cast("string").alias("subject"))
+    both = lambda condition: of(r, condition, "place_id").unionAll(of(c, condition, "candidate_id"))
+    stale_page = _any([F.col(f"{f}_displayable") & (F.col(f"{f}_source_type") == "fb_page") & ~(F.col("verified_active") & F.col("fb_page_fresh")) for f in _SHOWN])
+    not_found = _any([F.col(f"{f}_displayable") & (F.col(f"{f}_source_type") != "fb_page") & ~F.col(f"{f}_source_verified") for f in _SHOWN])
+    unknown = lambda df, column, known: df.where(~F.col(column).isin(*known) & ~F.col(column).rlike(PACKAGE)).select(F.col(column).alias("subject"))
+    values = {"address": "street_address", "phone": "phone", "service": "service_times"}
+    unsourced = [of(m, F.col(v).isNotNull() & (F.col(f"{f}_source_url").isNull() | F.col(f"{f}_source_type").isNull()), "place_id") for f, v in values.items()]
+    written = {"address": "address", "phone": "phone", "service": "service_times", "kids": "kids_program"}
+    unlinked = [of(df, F.col(v).isNotNull() & F.col(f"{f}_source_url").isNull(), key) for df, key in ((p, "place_id"), (n, "external_id")) for f, v in written.items()]
+    withheld = m.join(b["dim_place"].select("place_id", "display_phone"), "place_id").where("personal_phone_withheld and (phone is not null or display_phone is not null)")
+    union = lambda parts: reduce(DataFrame.unionAll, parts)
     return {
         "candidate_duplicates_are_not_new": c.where("is_new_place and duplicate_of_place_id is not null").select("candidate_id"),
-        "page_facts_are_fresh": r.where(page_fact("address") | page_fact("phone") | page_fact("service") | page_fact("kids")).select("place_id"),
+        "page_facts_are_fresh": both(stale_page),
         "hidden_is_never_visit_ready": r.where("not is_in_scope and visit_ready").select("place_id"),
         "map_ready_has_a_current_pin": c.where("map_ready and (not pin_usable or latitude is null or longitude is null)").select("candidate_id"),
         "visit_ready_is_where_they_meet": r.where("visit_ready and coalesce(address_is_worship_location, '') <> 'yes'").select("place_id"),
@@ -372,9 +396,14 @@ def assertions(b: Build) -> dict[str, DataFrame]:
         "one_result_for_each_manifest_place": b["manifest"].select("place_id").distinct().join(b["results"].groupBy("place_id").agg(F.count(F.lit(1)).alias("n")), "place_id", "left").where("coalesce(n, 0) <> 1").select("place_id"),
         "no_shared_pin_across_addresses": b["stg_geocodes"].where("geocode_status = 'ok'").groupBy("latitude", "longitude").agg(F.countDistinct(address_key(F.col("geocoded_street"), F.col("geocoded_city"), F.lit(None).cast("string"))).alias("n")).where("n > 1").select("latitude"),
         "new_places_are_not_in_the_directory": b["mart_directory_matches"].select("candidate_id"),
-        "published_facts_have_a_source": p.where("address is not null and address_source_type is null").select("place_id"),
+        "published_facts_have_a_source": union(unlinked),
         "usable_pins_are_inside_the_envelope": b["int_geocodes"].where(F.col("pin_usable") & ~geo.in_envelope(F.col("latitude"), F.col("longitude"))).select("subject_id"),
         "joins_add_no_rows": _more_rows(b["stg_places"], b["dim_place"]).unionAll(_more_rows(b["stg_candidates"], c)),
         "no_page_address_as_website": p.where(F.contains(F.lower("website"), F.lit("facebook.com"))).select("place_id"),
         "finds_are_not_in_the_directory": b["stg_places"].where("source = 'found'").select("place_id"),
+        "labels_are_known": union([unknown(m, "batch", KNOWN_BATCHES), unknown(m, "last_pass", KNOWN_PASSES), unknown(b["stg_candidates"], "task", KNOWN_TASKS)]),
+        "no_personal_phone_is_kept": of(withheld, F.lit(True), "place_id").unionAll(of(b["stg_candidates"], F.expr("personal_phone_withheld and phone is not null"), "candidate_id")),
+        "shown_facts_were_found_again": both(not_found),
+        "street_name_alone_is_not_routable": r.where("has_routable_directory_address and not has_house_number and not has_google_address").select("place_id"),
+        "researched_facts_have_a_source": union(unsourced),
     }

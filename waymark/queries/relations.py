@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.plans.models import MODELS, Build, assertions
+from waymark.plans.models import KNOWN_BATCHES, KNOWN_PASSES, KNOWN_TASKS, MODELS, PACKAGE, Build, assertions
 from waymark.queries.registry import FIXTURES, SQL_ONLY, Tables, query
 
 AS_OF = "1998-06-01"
@@ -19,7 +19,7 @@ _TYPES = "'own_site' WHEN 1 THEN 'denomination' WHEN 2 THEN 'fb_page' ELSE ''"
 FIXTURES.update({
     "manifest": f"SELECT k AS place_id, CASE k % 4 WHEN 0 THEN 'A_calibration' WHEN 1 THEN 'B_main' WHEN 2 THEN 'c' ELSE 'd' END AS batch FROM {_PER_PLACE} o",
     "results": f"""
-SELECT k AS place_id, CASE k % 4 WHEN 0 THEN 'A_calibration' WHEN 1 THEN 'B_main' WHEN 2 THEN 'c' ELSE 'd' END AS batch, 'pass ' || CAST(k % 3 AS STRING) AS last_pass, CAST(d AS DATE) AS checked_at,
+SELECT k AS place_id, CASE k % 4 WHEN 0 THEN 'A_calibration' WHEN 1 THEN 'B_main' WHEN 2 THEN 'c' ELSE 'd' END AS batch, CASE k % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'WP0012' ELSE 'pass 2' END AS last_pass, k % 31 = 0 AS personal_phone_withheld, CAST(d AS DATE) AS checked_at,
   CASE k % 10 WHEN 0 THEN 'business' WHEN 1 THEN 'religious_house' WHEN 2 THEN 'unknown' WHEN 3 THEN 'non_christian' ELSE 'congregation' END AS entity_type,
   CASE WHEN k % 23 = 0 THEN k + 1 END AS duplicate_of_place_id, CASE n % 6 WHEN 0 THEN 'closed' WHEN 1 THEN 'unresolved' ELSE 'active' END AS status,
   CASE k % 4 WHEN 0 THEN {_TYPES} END AS status_source_type, 'http://s/' || CAST(k AS STRING) AS status_source_url, CASE WHEN k % 5 = 0 THEN '' ELSE 'Place ' || CAST(k AS STRING) END AS current_name,
@@ -33,7 +33,7 @@ SELECT k AS place_id, CASE k % 4 WHEN 0 THEN 'A_calibration' WHEN 1 THEN 'B_main
   CASE WHEN k % 6 = 1 THEN 'Kids club' END AS kids_program, 'http://k/' || CAST(k AS STRING) AS kids_source_url, CASE (n + 1) % 4 WHEN 0 THEN {_TYPES} END AS kids_source_type
 FROM {_PER_PLACE} o""",
     "candidates": f"""
-SELECT 'C-' || CAST(s_suppkey AS STRING) AS candidate_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Place ' || CAST(s_suppkey AS STRING) ELSE s_name END AS candidate_name,
+SELECT 'C-' || CAST(s_suppkey AS STRING) AS candidate_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Place ' || CAST(s_suppkey AS STRING) ELSE s_name END AS candidate_name, CASE s_suppkey % 4 WHEN 0 THEN 'CN' WHEN 1 THEN 'WP0003' WHEN 2 THEN 'WP3' ELSE 'Z' END AS task, s_suppkey % 9 = 0 AS personal_phone_withheld,
   CASE WHEN s_suppkey % 13 = 0 THEN s_suppkey END AS duplicate_of_place_id, CASE WHEN s_suppkey % 11 = 0 THEN s_suppkey END AS possible_match_place_id, CASE WHEN s_suppkey % 17 = 0 THEN 'C-1' ELSE '' END AS possible_match_candidate_id,
   'Stated' AS denomination_stated, CASE WHEN s_suppkey % 7 = 0 THEN 'closed' ELSE 'active' END AS status, CASE s_suppkey % 2 WHEN 0 THEN {_TYPES} END AS status_source_type, 'http://cs' AS status_source_url,
   CASE WHEN s_suppkey % 2 = 0 THEN 'http://c.org' ELSE '' END AS official_url, 'address' AS url_evidence, CASE WHEN s_suppkey % 3 = 1 THEN 'http://facebook.com/c' END AS facebook_page_url, 'linked' AS fb_page_evidence,
@@ -91,8 +91,8 @@ SQL_ONLY.update({
   coalesce(latitude BETWEEN -15 AND 72 AND (longitude BETWEEN -180 AND -64 OR longitude BETWEEN 144 AND 180) AND NOT (latitude = 0 AND longitude = 0), false) AS coords_ok,
   nullif(trim(website, ' '), '') AS website, nullif(trim(phone, ' '), '') AS phone, coalesce(source, 'unknown') AS source, external_id, nullif(trim(denomination, ' '), '') AS denomination FROM {places} WHERE source IS DISTINCT FROM 'found'""",
     "stg_published": "SELECT place_id, external_id AS candidate_id, nullif(trim(name, ' '), '') AS published_name, nullif(trim(address, ' '), '') AS published_street, nullif(trim(city, ' '), '') AS city, latitude, longitude FROM {places} WHERE source = 'found'",
-    "stg_results": f"SELECT place_id, batch, last_pass, checked_at, entity_type, duplicate_of_place_id, status, fb_last_post_date, {_blanked('current_name', 'pin_check')} FROM {{results}}",
-    "stg_candidates": f"SELECT candidate_id, candidate_name, duplicate_of_place_id, possible_match_place_id, status, fb_last_post_date, checked_at, {_blanked('possible_match_candidate_id', 'denomination_stated')}, coalesce(CAST(duplicate_of_place_id AS VARCHAR), CAST(possible_match_place_id AS VARCHAR), nullif(possible_match_candidate_id, '')) IS NULL AS is_new_place FROM {{candidates}}",
+    "stg_results": f"SELECT place_id, batch, last_pass, personal_phone_withheld, checked_at, entity_type, duplicate_of_place_id, status, fb_last_post_date, {_blanked('current_name', 'pin_check')} FROM {{results}}",
+    "stg_candidates": f"SELECT candidate_id, candidate_name, task, personal_phone_withheld, duplicate_of_place_id, possible_match_place_id, status, fb_last_post_date, checked_at, {_blanked('possible_match_candidate_id', 'denomination_stated')}, coalesce(CAST(duplicate_of_place_id AS VARCHAR), CAST(possible_match_place_id AS VARCHAR), nullif(possible_match_candidate_id, '')) IS NULL AS is_new_place FROM {{candidates}}",
     "stg_checks": "SELECT subject_type, subject_id, fact_group, verdict, verdict = 'verified' AS is_verified, checked_at FROM {source_checks}",
     "stg_geocodes": "SELECT subject_type, subject_id, status AS geocode_status, latitude, longitude, distance_from_current_pin_m, nullif(match_type, '') AS match_type, nullif(matched_address, '') AS matched_address, nullif(geocoded_street, '') AS geocoded_street, nullif(geocoded_city, '') AS geocoded_city, nullif(geocoded_zip, '') AS geocoded_zip FROM {geocodes}",
     "int_scope": """SELECT place_id, display_tradition, split_part(v, '/', 1) AS scope_status, split_part(v, '/', 2) AS scope_basis FROM (
@@ -106,7 +106,7 @@ SQL_ONLY.update({
     SELECT 'candidate' AS subject_type, candidate_id AS subject_id, street_address, city, zip, true AS found FROM {{stg_candidates}} UNION ALL
     SELECT 'place', CAST(r.place_id AS VARCHAR), r.street_address, coalesce(r.city, p.city), r.zip, true FROM {{stg_results}} r JOIN {{stg_places}} p USING (place_id)) s USING (subject_type, subject_id))""",
     "place_flags": f"""SELECT *, scope_status IN ('in_scope', 'in_scope_labeled') AS is_in_scope FROM (SELECT *, {_SHOWN} FROM (SELECT *, {_ACTIVE} FROM (
-    SELECT p.place_id, p.listed_name, p.denomination, p.source, p.external_id, p.city, p.state, p.latitude, p.longitude, p.coords_ok, p.street_text, p.has_house_number, s.scope_status, s.scope_basis, s.display_tradition,
+    SELECT p.place_id, p.listed_name, p.denomination, p.source, p.external_id, p.city, p.state, p.latitude, p.longitude, p.coords_ok, p.street_text, p.has_house_number, p.has_google_address, s.scope_status, s.scope_basis, s.display_tradition,
       (p.has_house_number OR p.has_google_address) AND p.city IS NOT NULL AND p.state IS NOT NULL AS has_routable_directory_address, k.place_id IS NOT NULL AS in_repeated_cluster, r.place_id IS NOT NULL AS researched, coalesce(h.hold_address, false) AS hold_address, coalesce(h.hold_service, false) AS hold_service,
       r.batch, r.last_pass, r.checked_at, r.status, r.status_source_type, r.current_name, r.official_url, r.url_evidence, r.facebook_page_url, r.fb_page_evidence, r.fb_last_post_date, r.street_address, r.city AS result_city, r.zip AS result_zip,
       r.address_source_url, r.address_source_type, r.address_is_worship_location, r.pin_check, r.phone, r.phone_source_url, r.phone_source_type, r.service_times, r.service_languages, r.service_source_url, r.service_source_type, r.kids_program, r.kids_source_url, r.kids_source_type,
@@ -186,25 +186,88 @@ def _register(name: str) -> None:
 for _model in MODELS:
     _register(_model)
 
-_UNIQUE_PINS = f"SELECT latitude FROM {{stg_geocodes}} WHERE geocode_status = 'ok' GROUP BY latitude, longitude HAVING count(DISTINCT {_key('geocoded_street', 'geocoded_city')}) > 1"
-
-
-@query(f"""
-SELECT 'candidate_duplicates_are_not_new' AS assertion, count(*) AS violations FROM {{candidate_ready}} WHERE is_new_place AND duplicate_of_place_id IS NOT NULL
-UNION ALL SELECT 'page_facts_are_fresh', count(*) FROM {{place_ready}} WHERE NOT (verified_active AND fresh) AND ((address_displayable AND address_source_type = 'fb_page') OR (phone_displayable AND phone_source_type = 'fb_page') OR (service_displayable AND service_source_type = 'fb_page') OR (kids_displayable AND kids_source_type = 'fb_page'))
-UNION ALL SELECT 'hidden_is_never_visit_ready', count(*) FROM {{place_ready}} WHERE NOT is_in_scope AND visit_ready
-UNION ALL SELECT 'map_ready_has_a_current_pin', count(*) FROM {{candidate_ready}} WHERE map_ready AND (NOT pin_usable OR latitude IS NULL OR longitude IS NULL)
-UNION ALL SELECT 'visit_ready_is_where_they_meet', count(*) FROM {{place_ready}} WHERE visit_ready AND coalesce(address_is_worship_location, '') <> 'yes'
-UNION ALL SELECT 'holds_win', count(*) FROM {{place_ready}} WHERE (hold_address AND address_displayable) OR (hold_service AND service_displayable)
-UNION ALL SELECT 'one_result_for_each_manifest_place', count(*) FROM (SELECT DISTINCT place_id FROM {{manifest}}) m LEFT JOIN (SELECT place_id, count(*) AS n FROM {{results}} GROUP BY place_id) r USING (place_id) WHERE coalesce(n, 0) <> 1
-UNION ALL SELECT 'no_shared_pin_across_addresses', count(*) FROM ({_UNIQUE_PINS})
-UNION ALL SELECT 'new_places_are_not_in_the_directory', count(*) FROM {{mart_directory_matches}}
-UNION ALL SELECT 'published_facts_have_a_source', count(*) FROM {{mart_publish_places}} WHERE address IS NOT NULL AND address_source_type IS NULL
-UNION ALL SELECT 'finds_are_not_in_the_directory', count(*) FROM {{stg_places}} WHERE source = 'found'
-UNION ALL SELECT 'usable_pins_are_inside_the_envelope', count(*) FROM {{int_geocodes}} WHERE pin_usable AND NOT (latitude BETWEEN -15 AND 72 AND (longitude BETWEEN -180 AND -64 OR longitude BETWEEN 144 AND 180))
-UNION ALL SELECT 'joins_add_no_rows', abs((SELECT count(*) FROM {{stg_places}}) - (SELECT count(*) FROM {{dim_place}})) + abs((SELECT count(*) FROM {{stg_candidates}}) - (SELECT count(*) FROM {{candidate_ready}}))
-UNION ALL SELECT 'no_page_address_as_website', count(*) FROM {{mart_publish_places}} WHERE contains(lower(website), 'facebook.com')""")
+#: Rows that break assertions, by relation: which rows, and what they get; a relation without values loses these rows.
+PLANTED: dict[str, tuple[str, dict[str, str]]] = {
+    "int_place_readiness": ("place_id % 40 = 1", {"visit_ready": "true", "is_in_scope": "false", "address_is_worship_location": "NULL", "hold_address": "true", "address_displayable": "true", "address_source_type": "'fb_page'", "fb_page_fresh": "false", "phone_displayable": "true", "phone_source_type": "'own_site'", "phone_source_verified": "false", "has_routable_directory_address": "true", "has_house_number": "false", "has_google_address": "false"}),
+    "int_candidate_readiness": ("candidate_id LIKE '%7'", {"is_new_place": "true", "duplicate_of_place_id": "1", "map_ready": "true", "pin_usable": "false", "kids_displayable": "true", "kids_source_type": "'own_site'", "kids_source_verified": "false", "phone_displayable": "true", "phone_source_type": "'fb_page'", "verified_active": "false"}),
+    "mart_publish_places": ("place_id % 40 = 1", {"website": "'http://FACEBOOK.com/x'", "phone": "'5'", "phone_source_url": "NULL", "kids_program": "'x'", "kids_source_url": "NULL"}),
+    "mart_publish_new": ("true", {"service_times": "'x'", "service_source_url": "NULL"}),
+    "int_geocodes": ("subject_id LIKE '%7'", {"pin_usable": "true", "latitude": "89.5"}),
+    "stg_places": ("place_id % 40 = 1", {"source": "'found'"}),
+    "stg_geocodes": ("subject_id LIKE '%7'", {"geocode_status": "'ok'", "latitude": "31.5", "longitude": "-100.5"}),
+    "stg_results": ("place_id % 40 = 1", {"batch": "'odd'", "address_source_url": "NULL", "street_address": "'x'", "personal_phone_withheld": "true", "phone": "'5'"}),
+    "stg_candidates": ("candidate_id LIKE '%7'", {"personal_phone_withheld": "true", "phone": "'5'", "task": "'WP12'"}),
+    "dim_place": ("place_id % 40 = 2", {}),
+    "results": ("place_id % 40 = 3", {}),
+}
+#: Relations and columns that the SQL has under other names.
+_IN_SQL = {"int_place_readiness": "place_ready", "int_candidate_readiness": "candidate_ready"}
+
+
+def _in_sql(column: str) -> str:
+    return "fresh" if column == "fb_page_fresh" else column.replace("_source_verified", "_ok")
+
+
+for _name_, (_rows, _values) in PLANTED.items():
+    _of = _IN_SQL.get(_name_, _name_)
+    SQL_ONLY[f"planted_{_of}"] = (
+        f"SELECT * REPLACE ({', '.join(f'CASE WHEN {_rows} THEN {v} ELSE {_in_sql(c)} END AS {_in_sql(c)}' for c, v in _values.items())}) FROM {{{_of}}}" if _values else f"SELECT * FROM {{{_of}}} WHERE NOT ({_rows})"
+    )
+
+
+def _counts(prefix: str) -> str:
+    """SQL for every assertion's number of rows, over the relations or over those with planted rows."""
+    at = {n: f"{{{prefix}{n}}}" for n in ("place_ready", "candidate_ready", "mart_publish_places", "mart_publish_new", "int_geocodes", "stg_places", "stg_geocodes", "stg_results", "stg_candidates", "dim_place", "results")}
+    shown = ("address", "phone", "service", "kids")
+    page = " OR ".join(f"({f}_displayable AND {f}_source_type = 'fb_page' AND NOT (verified_active AND fresh))" for f in shown)
+    missed = " OR ".join(f"({f}_displayable AND {f}_source_type <> 'fb_page' AND NOT {f}_ok)" for f in shown)
+    sums = lambda parts: " + ".join(f"(SELECT count(*) FROM {x})" for x in parts)
+    both = lambda condition: sums(f"{at[n]} WHERE {condition}" for n in ("place_ready", "candidate_ready"))
+    written = {"address": "address", "phone": "phone", "service": "service_times", "kids": "kids_program"}
+    values = {"address": "street_address", "phone": "phone", "service": "service_times"}
+    odd = lambda n, c, known: f"{at[n]} WHERE {c} NOT IN {known} AND NOT regexp_matches({c}, '{PACKAGE.replace('{', '{{').replace('}', '}}')}')"
+    pins = f"SELECT latitude FROM {at['stg_geocodes']} WHERE geocode_status = 'ok' GROUP BY latitude, longitude HAVING count(DISTINCT {_key('geocoded_street', 'geocoded_city')}) > 1"
+    counted = {
+        "candidate_duplicates_are_not_new": sums([f"{at['candidate_ready']} WHERE is_new_place AND duplicate_of_place_id IS NOT NULL"]),
+        "page_facts_are_fresh": both(page),
+        "hidden_is_never_visit_ready": sums([f"{at['place_ready']} WHERE NOT is_in_scope AND visit_ready"]),
+        "map_ready_has_a_current_pin": sums([f"{at['candidate_ready']} WHERE map_ready AND (NOT pin_usable OR latitude IS NULL OR longitude IS NULL)"]),
+        "visit_ready_is_where_they_meet": sums([f"{at['place_ready']} WHERE visit_ready AND coalesce(address_is_worship_location, '') <> 'yes'"]),
+        "holds_win": sums([f"{at['place_ready']} WHERE (hold_address AND address_displayable) OR (hold_service AND service_displayable)"]),
+        "one_result_for_each_manifest_place": sums([f"(SELECT DISTINCT place_id FROM {{manifest}}) m LEFT JOIN (SELECT place_id, count(*) AS n FROM {at['results']} GROUP BY place_id) r USING (place_id) WHERE coalesce(n, 0) <> 1"]),
+        "no_shared_pin_across_addresses": sums([f"({pins})"]),
+        "new_places_are_not_in_the_directory": sums(["{mart_directory_matches}"]),
+        "published_facts_have_a_source": sums(f"{at[n]} WHERE {v} IS NOT NULL AND {f}_source_url IS NULL" for n in ("mart_publish_places", "mart_publish_new") for f, v in written.items()),
+        "usable_pins_are_inside_the_envelope": sums([f"{at['int_geocodes']} WHERE pin_usable AND NOT (latitude BETWEEN -15 AND 72 AND (longitude BETWEEN -180 AND -64 OR longitude BETWEEN 144 AND 180))"]),
+        "joins_add_no_rows": f"abs((SELECT count(*) FROM {at['stg_places']}) - (SELECT count(*) FROM {at['dim_place']})) + abs((SELECT count(*) FROM {at['stg_candidates']}) - (SELECT count(*) FROM {at['candidate_ready']}))",
+        "no_page_address_as_website": sums([f"{at['mart_publish_places']} WHERE contains(lower(website), 'facebook.com')"]),
+        "finds_are_not_in_the_directory": sums([f"{at['stg_places']} WHERE source = 'found'"]),
+        "labels_are_known": sums([odd("stg_results", "batch", KNOWN_BATCHES), odd("stg_results", "last_pass", KNOWN_PASSES), odd("stg_candidates", "task", KNOWN_TASKS)]),
+        "no_personal_phone_is_kept": sums([f"{at['stg_results']} JOIN (SELECT place_id, display_phone FROM {at['dim_place']}) USING (place_id) WHERE personal_phone_withheld AND (phone IS NOT NULL OR display_phone IS NOT NULL)", f"{at['stg_candidates']} WHERE personal_phone_withheld AND phone IS NOT NULL"]),
+        "shown_facts_were_found_again": both(missed),
+        "street_name_alone_is_not_routable": sums([f"{at['place_ready']} WHERE has_routable_directory_address AND NOT has_house_number AND NOT has_google_address"]),
+        "researched_facts_have_a_source": sums(f"{at['stg_results']} WHERE {v} IS NOT NULL AND ({f}_source_url IS NULL OR {f}_source_type IS NULL)" for f, v in values.items()),
+    }
+    return " UNION ALL ".join(f"SELECT '{name}' AS assertion, ({n})::BIGINT AS violations" for name, n in counted.items())
+
+
+def _violations(b: Build) -> DataFrame:
+    counted = [rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("assertion"), "violations") for name, rows in assertions(b).items()]
+    return reduce(DataFrame.unionAll, counted)
+
+
+@query(_counts(""))
 def assertions_all(t: Tables) -> DataFrame:
     """Every assertion with the number of rows that break it (Q3)."""
-    counted = [rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("assertion"), "violations") for name, rows in assertions(build(t)).items()]
-    return reduce(DataFrame.unionAll, counted)
+    return _violations(build(t))
+
+
+@query(_counts("planted_"))
+def assertions_fire(t: Tables) -> DataFrame:
+    """Every assertion over relations with rows that break it (Q3)."""
+    base = build(t)
+    given = {"mart_directory_matches": base["mart_directory_matches"]}
+    for name, (rows, values) in PLANTED.items():
+        df = base[name]
+        given[name] = df.withColumns({c: F.expr(f"CASE WHEN {rows} THEN {v} ELSE {c} END") for c, v in values.items()}) if values else df.where(f"NOT ({rows})")
+    return _violations(Build(base.inputs, base.as_of, given))

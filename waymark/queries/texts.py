@@ -134,15 +134,6 @@ def street_statements(t: Tables) -> DataFrame:
     return t.streets.select("place_id", udfs.street_key_of("street").alias("street_key"), udfs.supports_street(said, F.col("street")).alias("stated"), udfs.supports_street(F.concat(F.lit("1"), "street"), F.col("street")).alias("stated_by_longer_number"))
 
 
-@query()
-def excerpt_checks(t: Tables) -> DataFrame:
-    """Each document's words from the fifth to the fourteenth as an excerpt of its whole text, joined to the last three, every second in capitals (T10). The tests hold the rules to written cases."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    quoted = F.concat_ws(" … ", F.array_join(F.slice(words, 5, 10), " "), F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " "))
-    quoted = F.when(F.col("doc_id") % 2 == 0, F.upper(quoted)).otherwise(quoted)
-    return t.documents.select("doc_id", udfs.excerpt_verdict(quoted, F.col("text")).alias("v")).select("doc_id", "v.verdict", "v.found", "v.total", "v.mode")
-
-
 @query("SELECT s_suppkey FROM {supplier} s WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE lower(c.c_mktsegment) = lower(s.s_name) AND c.c_nationkey = s.s_nationkey) AND NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey * 3 = s.s_suppkey)")
 def absent_records(t: Tables) -> DataFrame:
     """Records whose name key and id aren't known yet."""

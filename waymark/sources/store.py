@@ -22,3 +22,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the checkpoint folder and reads it from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate results."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
