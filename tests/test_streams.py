@@ -86,7 +86,7 @@ def test_a_batch_writes_its_own_keys_alone(spark, tmp_path):
 
 def test_windows_end_and_late_rows_do_not_count(spark, tmp_path):
     at = lambda h, m=0: START + dt.timedelta(hours=h, minutes=m)
-    parts = [[(at(0, 5), "a", 1), (at(0, 50), "a", 2)], [(at(5), "a", 3)], [(at(0, 10), "a", 4), (at(5, 30), "b", 5)], [(at(9), "a", 6)]]
+    parts = [[(at(0, 5), "a", 1), (at(0, 50), "a", 2)], [(at(5), "a", 3)], [(at(5, 30), "b", 5)], [(at(0, 10), "a", 4), (at(9), "a", 6)]]
     folder = write(spark, str(tmp_path / "rows"), parts, SEEN)
     windows = state.windowed_counts(state.parquet_stream(spark, folder, 1), "ts", ["k"], {"ids": F.col("id")})
     log = state.Changes(spark, str(tmp_path / "log"))

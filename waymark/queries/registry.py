@@ -68,7 +68,10 @@ def expanded(sql: str) -> str:
     if not order:
         return body
     head = ",\n".join(f"{n} AS ({known[n].format(**{m: m for m in _names(known[n])}).strip()})" for n in order)
-    return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
+    return f"WITH {head}\n{body}"
 
 
 #: Rows of a directory from the driver's tables, by whole-number arithmetic that both engines share.

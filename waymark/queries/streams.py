@@ -54,7 +54,7 @@ _READY = f"({_TODO}) AND ({_OUTPUTS}) AND NOT ({_MISSING})"
 
 
 @query(f"""
-WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY at, seq) AS k, count(*) OVER (PARTITION BY package) AS n FROM {{package_events}}),
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY "at", seq) AS k, count(*) OVER (PARTITION BY package) AS n FROM {{package_events}}),
 f AS (
   SELECT DISTINCT package, 0::BIGINT AS k, n, NULL::VARCHAR AS state, NULL::TIMESTAMP AS started_at, NULL::TIMESTAMP AS delivered_at, NULL::VARCHAR AS handled, NULL::VARCHAR AS note, NULL::VARCHAR AS list, false AS partial, NULL::TIMESTAMP AS listed_at,
     {", ".join(f"NULL::VARCHAR AS {n}_sha, 0 AS {n}_problems, 0 AS {n}_late, NULL::VARCHAR AS want_{n}" for n in _FILES)} FROM e
@@ -64,7 +64,7 @@ f AS (
     CASE WHEN ({_TODO}) AND NOT ({_OUTPUTS}) THEN 'no output listed' WHEN {_READY} THEN CASE WHEN {_FAILED} > 0 THEN ({_FAILED}) || ' files with problems' ELSE concat_ws('; ', CASE WHEN {_LATE} > 0 THEN ({_LATE}) || ' late stamps' END, CASE WHEN partial THEN 'partial' END) END ELSE note END,
     list, partial, listed_at, {", ".join(f"{n}_sha, {n}_problems, {n}_late, want_{n}" for n in _FILES)}
   FROM (SELECT f.package, e.k, f.n, CASE WHEN kind = 'queued' AND state IS NULL THEN 'queued' WHEN kind = 'started' AND state = 'queued' THEN 'started' WHEN kind = 'built' AND state = 'pending_build' THEN 'ingested' ELSE state END AS state,
-      CASE WHEN kind = 'started' AND state = 'queued' THEN at ELSE started_at END AS started_at, delivered_at, handled, note, CASE WHEN kind = 'listed' THEN sha ELSE list END AS list, CASE WHEN kind = 'listed' THEN e.partial ELSE f.partial END AS partial, CASE WHEN kind = 'listed' THEN at ELSE listed_at END AS listed_at,
+      CASE WHEN kind = 'started' AND state = 'queued' THEN "at" ELSE started_at END AS started_at, delivered_at, handled, note, CASE WHEN kind = 'listed' THEN sha ELSE list END AS list, CASE WHEN kind = 'listed' THEN e.partial ELSE f.partial END AS partial, CASE WHEN kind = 'listed' THEN "at" ELSE listed_at END AS listed_at,
       {", ".join(f"CASE WHEN kind = 'file' AND name = '{n}' THEN sha ELSE {n}_sha END AS {n}_sha, CASE WHEN kind = 'file' AND name = '{n}' THEN problems ELSE {n}_problems END AS {n}_problems, CASE WHEN kind = 'file' AND name = '{n}' THEN coalesce(late, 0) ELSE {n}_late END AS {n}_late, CASE WHEN kind = 'listed' THEN json_extract_string(listed, '$.{n}') ELSE want_{n} END AS want_{n}" for n in _FILES)}
     FROM f JOIN e ON e.package = f.package AND e.k = f.k + 1))
 SELECT package, state, started_at, delivered_at, handled, note, n AS events FROM f WHERE k = n""")
