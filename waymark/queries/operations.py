@@ -339,7 +339,7 @@ def replace_set(t: Tables) -> DataFrame:
 @query("""
 SELECT place_id, CASE WHEN place_id % 4 = 0 THEN 'Fixed' ELSE trim(city) END AS city FROM {places}""")
 def guarded_fix(t: Tables) -> DataFrame:
-    """A correction holds only where the old value still stands."""
+    """A correction holds only where the old value still stands."""
     s = t.places.select("place_id", "city")
     fixes = s.where("place_id % 2 = 0").select("place_id", F.lit("city").alias("column_name"), F.when(F.col("place_id") % 4 == 0, F.col("city")).otherwise("Elsewhere").alias("old_value"), F.lit("Fixed").alias("new_value"))
     return merging.corrected(s, fixes, "place_id", ["city"])
@@ -348,13 +348,13 @@ def guarded_fix(t: Tables) -> DataFrame:
 _PLAN = """
 SELECT place_id, field, CASE WHEN NOT there THEN 'insert' WHEN trim(coalesce(old_value, '')) = '' THEN 'fill' ELSE 'replace' END AS action, old_value, new_value FROM (
   SELECT place_id, 'phone' AS field, place_id % 10 <> 1 AS there, CASE WHEN place_id % 10 <> 1 THEN phone END AS old_value, CASE WHEN place_id % 8 = 0 THEN '555-010-' || CAST(1000 + place_id % 9000 AS VARCHAR) ELSE '555-999-0000' END AS new_value,
-    place_id % 8 = 0 AS same FROM {places} WHERE place_id % 2 = 0 OR place_id % 10 = 1
-  UNION ALL SELECT place_id, 'website', place_id % 10 <> 1, CASE WHEN place_id % 10 <> 1 THEN website END, 'https://place' || CAST(place_id AS VARCHAR) || '.org', place_id % 3 = 0 FROM {places} WHERE (place_id % 2 = 0 OR place_id % 10 = 1) AND place_id % 5 <> 0)
+    place_id % 8 = 0 AS same FROM {places}
+  UNION ALL SELECT place_id, 'website', place_id % 10 <> 1, CASE WHEN place_id % 10 <> 1 THEN website END, 'https://place' || CAST(place_id AS VARCHAR) || '.org', place_id % 3 = 0 FROM {places} WHERE place_id % 5 <> 0)
 WHERE NOT (there AND same)"""
 
 
 def _desired(t: Tables) -> tuple[DataFrame, DataFrame]:
-    p = t.places.where("place_id % 2 = 0 or place_id % 10 = 1")
+    p = t.places
     key = F.col("place_id")
     phone = F.when(key % 8 == 0, F.concat(F.lit("555-010-"), (1000 + key % 9000).cast("string"))).otherwise("555-999-0000")
     site = F.when(key % 5 == 0, F.lit("https://facebook.com/x")).otherwise(F.concat(F.lit("https://place"), key.cast("string"), F.lit(".org")))
@@ -428,10 +428,26 @@ def returned_once(t: Tables) -> DataFrame:
     return quality.returned_once(t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("SELECT count(*) AS rows, count(*) = count(DISTINCT o_orderkey) AS unique_keys FROM {orders}")
+@query("""
+WITH n AS (SELECT (SELECT count(*) FROM {orders}) AS now, (SELECT count(*) FROM {orders} WHERE o_orderkey % 4 <> 0) AS then_rows, (SELECT count(*) FROM {orders} WHERE o_orderkey % 10 <> 0) AS most)
+SELECT s, problem FROM (SELECT 'grown' AS s, unnest(CASE WHEN now < 0.8 * most THEN ['too_few_rows'] ELSE [] END) AS problem FROM n
+  UNION ALL SELECT 'shrunk', unnest(CASE WHEN then_rows < 0.8 * now THEN ['older', 'too_few_rows'] ELSE ['older'] END) FROM n UNION ALL SELECT 'other_scope', unnest(CASE WHEN most < 0.8 * now THEN ['scope_changed', 'too_few_rows'] ELSE ['scope_changed'] END) FROM n)""")
+def snapshot_gate(t: Tables) -> DataFrame:
+    """Why a snapshot is refused against the one before: its scope, its time, its number of rows."""
+
+    def snapshot(rows: DataFrame, scope: str, day: int) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(scope).alias("scope"), F.lit(day).alias("taken_at"), "rows")
+
+    whole = snapshot(t.orders, "all", 2)
+    pairs = {"grown": (snapshot(t.orders.where("o_orderkey % 10 <> 0"), "all", 1), whole), "shrunk": (whole, snapshot(t.orders.where("o_orderkey % 4 <> 0"), "all", 2)), "other_scope": (whole, snapshot(t.orders.where("o_orderkey % 10 <> 0"), "some", 3))}
+    found = [quality.snapshot_problems(a, b).select(F.lit(name).alias("s"), "problem") for name, (a, b) in pairs.items()]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+@query("SELECT count(*) AS rows, true AS same, count(*) = count(DISTINCT o_orderkey) AS unique_keys FROM {orders}")
 def snapshot_guard(t: Tables) -> DataFrame:
-    """A snapshot's size and whether its keys are unique; equal digests whatever the order."""
-    a, b = quality.table_digest(t.orders), quality.table_digest(t.orders.orderBy(F.desc("o_orderkey")))
-    same = a.crossJoin(b.select(F.col("digest").alias("other")))
+    """A snapshot's size, whether its digest is that of the same rows in two parts, and whether its keys are unique (S3)."""
+    parts = t.orders.where("o_orderkey % 2 = 1").unionByName(t.orders.where("o_orderkey % 2 = 0"))
+    a, b = quality.table_digest(t.orders), quality.table_digest(parts)
     unique = quality.not_unique(t.orders, "o_orderkey").agg((F.count(F.lit(1)) == 0).alias("unique_keys"))
-    return same.where("digest = other").select("rows").crossJoin(unique)
+    return a.crossJoin(b.select(F.col("digest").alias("other"))).select("rows", (F.col("digest") == F.col("other")).alias("same")).crossJoin(unique)

@@ -198,6 +198,6 @@ def cache_states(t: Tables) -> DataFrame:
 def cosine_to_one(t: Tables) -> DataFrame:
     """The cosine of every vector with one of them."""
     vectors = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    one = vectors.where("vec_id = 0").first()
-    other = F.array(*[F.lit(x) for x in one["embedding"]]) if one else F.lit(None).cast("array<double>")
-    return vectors.select("vec_id", F.round(geo.cosine(F.col("embedding"), other), 6).alias("cosine"))
+    one = vectors.where("vec_id = 0").limit(1).select(F.col("embedding").alias("other"))
+    both = vectors.join(F.broadcast(one), how="left")  # one row
+    return both.select("vec_id", F.round(geo.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
