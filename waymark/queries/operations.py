@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
-from waymark.operators import matching, merging, publishing, quality, queues, stats
+from waymark.operators import commits, matching, merging, publishing, quality, queues, stats
 from waymark.queries.registry import Tables, query
 
 _NOW = "TIMESTAMP '2024-01-25 00:00:00'"
@@ -368,6 +368,12 @@ def publish_plan(t: Tables) -> DataFrame:
     return publishing.plan(*_desired(t), "place_id", ["phone", "website"])
 
 
+@query("SELECT *, (dense_rank() OVER (ORDER BY place_id) - 1) // 50 AS batch FROM (" + _PLAN + ")")
+def publish_batches(t: Tables) -> DataFrame:
+    """A publication's changes with the batches of 50 places in which they are made."""
+    return commits.numbered_batches(publishing.plan(*_desired(t), "place_id", ["phone", "website"]), "place_id").select("place_id", "field", "action", "old_value", "new_value", "batch")
+
+
 @query("SELECT place_id, phone, website FROM {places} WHERE place_id % 10 <> 1")
 def publish_revert(t: Tables) -> DataFrame:
     """A publication that is applied and reverted leaves what was."""
