@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from tests.llm.helpers import EDGES, ascii_lower, documents, prose
@@ -69,3 +70,51 @@ def test_spans_are_verified(spark):
     ]
     by = {r["doc_id"]: r["labels"] for r in licenses.license_report(documents(spark, rows)).collect()}
     assert by == {1: "gpl", 2: "gpl,lgpl", 3: "agpl,gpl", 4: "", 5: "cc-by", 6: "", 7: "", 8: "", 9: ""}
+
+
+def by_loop(text):
+    """labels and score from the definition: for each template and band of diagonals the longest run in order, by trying all."""
+    from waymark.llm.licenses import BASE_PHRASES, GAP, GRAM, LEAST_SHARE, TELLING, TEMPLATES, WHOLE
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
+    labels, score = {x for x, p in PHRASES.items() if f" {p} " in f" {' '.join(words)} "}, 0.0
+    score = 1.0 if labels else 0.0
+    assert {x for x, _ in BASE_PHRASES} == set(PHRASES)
+    for label, template in TEMPLATES + WHOLE:
+        own = re.findall(r"[a-z0-9]+", template.lower())
+        grams = [own[k : k + GRAM] for k in range(len(own) - GRAM + 1)]
+        telling = [w.split() for w in TELLING.get(label, "").split("|") if w]
+        hits = [(p, a) for p in range(len(words) - GRAM + 1) for a, g in enumerate(grams) if words[p : p + GRAM] == g]
+        for band in {(p - a) // GAP - d for p, a in hits for d in (0, 1)}:
+            near = sorted(h for h in hits if (h[0] - h[1]) // GAP in (band, band + 1))
+            best: list[list] = []
+            for k, (p, a) in enumerate(near):
+                best.append(max(([*best[j], (p, a)] for j in range(k) if near[j][0] < p and near[j][1] < a), key=len, default=[(p, a)]))
+            run = max(best, key=len)
+            told = not telling or any(any(own[k : k + len(w)] == w for k in range(a, a + GRAM - len(w) + 1)) for _, a in run for w in telling)
+            if len(run) >= LEAST_SHARE * len(grams) and told:
+                labels.add(label)
+                score = max(score, len(run) / len(grams))
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_score_by_brute_force(spark):
+    from waymark.llm.licenses import TEMPLATES, WHOLE
+
+    r = random.Random(2)
+    rows = [(k, t) for k, t in ROWS if t is None or len(t) < 20_000]
+    for k, (_, template) in enumerate(TEMPLATES + WHOLE):
+        words = template.split()
+        cut = [w for w in words if r.random() > 0.06]
+        grown = [x for w in words for x in ([w, "really"] if r.random() < 0.05 else [w])]
+        rows += [(100 + k, template), (200 + k, f"{prose(k, 30)} {' '.join(cut)} {prose(k + 50, 20)}"), (300 + k, " ".join(grown)), (400 + k, " ".join(words[: len(words) * 2 // 3])), (500 + k, " ".join(words[len(words) // 2 :] + words[: len(words) // 2]))]
+    found = licenses.license_report(documents(spark, rows)).collect()
+    got = sorted((str(f["doc_id"]), f["labels"], round(f["score"], 9)) for f in found)
+    assert got == sorted((str(i), *(lambda v: (v[0], round(v[1], 9)))(by_loop(t))) for i, t in rows)
+
+
+def test_one_scan(spark, tmp_path):
+    """The texts are read once: what follows reads the votes that were written."""
+    documents(spark, ROWS).write.parquet(str(tmp_path / "docs"))
+    plan = licenses.license_report(spark.read.parquet(str(tmp_path / "docs")))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Scan ExistingRDD" in plan
