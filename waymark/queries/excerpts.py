@@ -15,7 +15,7 @@ def _words(*places: int) -> str:
 #: Quotations by the row: whole, joined in several ways, run together, cut by characters, capitals, turned round, notes about a page.
 FIXTURES["quoted"] = f"""
 SELECT doc_id, text, CASE doc_id % 15
-  WHEN 0 THEN {_words(3, 4, 5, 6, 7)} WHEN 1 THEN {_words(3, 4, 5, 6)} || ' … ' || {_words(9, 10)} WHEN 2 THEN upper({_words(2, 3, 4)}) || ' / ' || {_words(12, 13)} || ' — ' || {_words(1, 2)} WHEN 3 THEN replace({_words(4, 5, 6)}, ' ', '')
+  WHEN 0 THEN {_words(3, 4, 5, 6, 7)} WHEN 1 THEN {_words(3, 4, 5, 6)} || ' … ' || {_words(9, 10)} WHEN 2 THEN translate({_words(2, 3, 4)}, 'aeiou', 'AEIOU') || ' / ' || {_words(12, 13)} || ' — ' || {_words(1, 2)} WHEN 3 THEN replace({_words(4, 5, 6)}, ' ', '')
   WHEN 4 THEN substring(text, 9, 195) WHEN 5 THEN substring(text, 3, 60) WHEN 6 THEN {_words(5, 6, 7)} || ' | ' || {_words(8)} || ' ; ' || {_words(60)} WHEN 7 THEN 'The site footer has ' || {_words(4)} WHEN 8 THEN NULL WHEN 9 THEN ' … '
   WHEN 10 THEN {_words(3, 4, 6)} || '...' || {_words(7)} WHEN 11 THEN replace({_words(2, 3)}, ' ', '') || '; 7 am' WHEN 12 THEN {_words(9)} || ' + ' || {_words(3)} || ' + ' || {_words(40)} || ' + ' || {_words(10)}
   WHEN 13 THEN substring(text, 14, 120) || ' … ' || substring(text, 200, 90) ELSE {_words(1)} || ' ... ' || {_words(2, 3)} END AS excerpt
