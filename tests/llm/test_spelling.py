@@ -114,3 +114,10 @@ def test_trees_reach_all():
                     assert (i, int(k)) in found
     who, _ = spelling.Tree(entries, 8, True).reach(entries, 0, 0)
     assert sorted(who.tolist()) == list(range(500))
+
+
+def test_sql(spark, sf_dir):
+    from tests.oracle import connect, spark_rows, sql_rows
+    from waymark.llm.entries import ORACLES
+
+    assert spark_rows(op11_spelling_variants(spark, sf_dir)) == sql_rows(connect(sf_dir), ORACLES["op11_spelling_variants"])

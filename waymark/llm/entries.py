@@ -163,4 +163,43 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
-ORACLES: dict[str, str] = {"op2_warc": OP2, "op6_quality_rules": OP6}
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte, by the reversed polynomial."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+#: Operator 11: words by hashed runs, near words by what is left when a code point is taken out, roots by following forms.
+OP11 = r"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) WHERE length(r) >= 7 GROUP BY ALL),
+bytes AS (SELECT r, c, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT r, c, hex(encode(doc_id || ':' || r)) AS h FROM runs)),
+hashed AS (SELECT r, c, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda s, x: xor(s >> 8, (TABLE)[(xor(s, x) & 255) + 1])), 4294967295) AS h FROM bytes),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+gaps AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS gap FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)),
+apart AS (SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.k = b.k AND a.word <> b.word UNION SELECT g.word, w.word FROM gaps g JOIN words w ON g.gap = w.word UNION SELECT w.word, g.word FROM gaps g JOIN words w ON g.gap = w.word),
+near AS (SELECT word, count(*) AS n_near, min({'m': -m, 'o': other}) AS best FROM (SELECT apart.word, other, words.n AS m FROM apart JOIN words ON words.word = apart.other) GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * w.n THEN best.o END AS form, CASE WHEN -best.m >= 10 * w.n THEN -best.m END AS form_n FROM words w LEFT JOIN near USING (word)),
+chain AS (SELECT word, form AS root, 1 AS k FROM formed WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, coalesce(r.root, f.word) AS root, f.n, f.n_near, f.form_n FROM formed f LEFT JOIN (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word) r ON r.word = f.word
+""".replace("TABLE", f"{_crc_table()}::BIGINT[]")
+
+#: Operator 13: sets of shingles, pairs by common shingles of different sets, components by what can be reached.
+OP13 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i:i+3], ' '))) END AS l FROM d),
+one AS (SELECT doc_id, len(l) AS n, unnest(l) AS g FROM s),
+sets AS (SELECT doc_id, n, md5(array_to_string(list_sort(l), chr(10))) AS h FROM (SELECT doc_id, len(l) AS n, l FROM s) WHERE n > 0),
+first AS (SELECT h, min(doc_id) AS doc_id FROM sets GROUP BY h),
+rare AS (SELECT one.doc_id, n, g FROM one JOIN first USING (doc_id)),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS both_n, count(*) AS k FROM rare a JOIN rare b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM met WHERE 100 * k >= 85 * (both_n - k) UNION ALL SELECT f.doc_id, sets.doc_id FROM sets JOIN first f USING (h) WHERE sets.doc_id <> f.doc_id),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS root FROM ways UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.doc_id)
+SELECT s.doc_id, len(l)::BIGINT AS n_shingles, coalesce(least(s.doc_id, r.root), s.doc_id) AS component_id FROM s LEFT JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": OP2, "op6_quality_rules": OP6, "op11_spelling_variants": OP11, "op13_ngram_jaccard": OP13}
