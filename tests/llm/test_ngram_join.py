@@ -93,3 +93,10 @@ def test_many_pairs_of_one_hub(spark, monkeypatch):
     rows = [(0, " ".join(text))] + [(k, " ".join([*text, f"tail{k}"])) for k in range(1, 60)]
     rows += [(100 + k, " ".join([*text[:20], *prose(k, 15).split()])) for k in range(60)]
     assert result(ngram_join.jaccard_components(documents(spark, rows))) == expected(rows)
+
+
+def test_sql(spark, sf_dir):
+    from tests.oracle import connect, spark_rows, sql_rows
+    from waymark.llm.entries import ORACLES
+
+    assert spark_rows(op13_ngram_jaccard(spark, sf_dir)) == sql_rows(connect(sf_dir), ORACLES["op13_ngram_jaccard"])

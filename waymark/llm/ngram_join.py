@@ -20,14 +20,15 @@ the hub's first; a hub with many pairs is split.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm import simhash
 from waymark.llm.common import blocks, gram_hashes, join_hot, map_rows, may_match, mix, release, run_hashes, settle, tuned
 from waymark.operators.matching import components
 
@@ -83,12 +84,9 @@ def shingles(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.concatenate(out), np.where(n >= words, n - words + 1, np.minimum(n, 1))
 
 
-def _sets(column: pa.Array, words: int, key=lambda hashes: hashes) -> list[np.ndarray]:
-    """The distinct keys of each text's n-grams, ascending."""
-    out = []
-    for grams, counts in shingles(column, words):
-        out += map(np.unique, np.split(key(grams), np.cumsum(counts)[:-1]))
-    return out
+def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """The hashes of each text's distinct n-grams, ascending."""
+    return [np.unique(s) for grams, counts in shingles(column, words) for s in np.split(grams, np.cumsum(counts)[:-1])]
 
 
 def frequency_classes(texts: DataFrame, like: Likeness) -> np.ndarray:
@@ -102,6 +100,7 @@ def frequency_classes(texts: DataFrame, like: Likeness) -> np.ndarray:
             found = _sets(b.column(0), like.words)
             if found:
                 total += np.bincount((np.concatenate(found) >> shift).astype(np.int64), minlength=SLOTS).astype(np.int32)
+        pa.default_memory_pool().release_unused()
         rows = [(k, at, total[k * CHUNK :][at]) for k in range(SLOTS // CHUNK) if len(at := np.flatnonzero(total[k * CHUNK : (k + 1) * CHUNK]))]
         for k, at, n in rows:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype(np.int32)]), pa.array([n])], ["chunk", "at", "n"])
@@ -131,24 +130,27 @@ def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
 
 
-def heads(texts: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, source (a hash of the text), node, n, head (the prefix) and rest (counts of what is behind it, by range) of every row."""
+def heads(texts: DataFrame, like: Likeness, prints: bool = False) -> DataFrame:
+    """doc_id, source (a hash of the text), node, n, head (the prefix), rest (counts of what is behind it, by range) of every row; with prints, fp."""
     classes = frequency_classes(texts, like)
     shift, low = np.uint64(64 - (SLOTS.bit_length() - 1)), np.uint64((1 << HASH_BITS) - 1)
 
-    def key(hashes: np.ndarray) -> np.ndarray:
-        return classes[(hashes >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS) | hashes & low
-
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _sets(batch.column(2), like.words, key)
+        found, fps = [], []
+        for grams, counts in shingles(batch.column(2), like.words):
+            keys = classes[(grams >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS) | grams & low
+            found += map(np.unique, np.split(keys, np.cumsum(counts)[:-1]))
+            if prints:
+                fps.append(simhash.majority(grams, counts))
         ends = [like.prefix(len(s)) for s in found]
         rest = [np.bincount((s[p:] >> np.uint64(20)).astype(np.int64) % RANGES, minlength=RANGES) for s, p in zip(found, ends, strict=True)]
         columns = [batch.column(0), batch.column(1), pa.array([_node(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())]
         columns += [_lists([s[:p] for s, p in zip(found, ends, strict=True)], np.int64), _lists(rest, np.int32)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "node", "n", "head", "rest"])
+        columns += [pa.array(np.concatenate(fps).view(np.int64))] if prints else []
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
-    rows = texts.select("doc_id", F.xxhash64("text").alias("source"), "text")
-    return map_rows(rows, work, "doc_id long, source long, node long, n long, head array<long>, rest array<int>")
+    schema = "doc_id long, source long, node long, n long, head array<long>, rest array<int>" + ", fp long" * prints
+    return map_rows(texts.select("doc_id", F.xxhash64("text").alias("source"), "text"), work, schema)
 
 
 def _fitting(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
@@ -187,6 +189,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, like: Likene
                     out.append((node, hub))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in out], pa.int64()), pa.array([v[1] for v in out], pa.int64())], ["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     return moved.mapInArrow(compared, "a long, b long")
 
@@ -198,19 +201,23 @@ def _rooted(rows: DataFrame, label: DataFrame, key: str = "node", name: str = "r
 
 
 def _apart(shared: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Of the keys whose nodes are in several components, all rows (g, node, n, root) with y, the node to meet: where the key comes first."""
+    """Of the keys whose nodes are in several components, all rows (g, node, n, pos, root), how many each key has (size), and y, the node to meet: where the key comes first."""
     rooted = shared.withColumn("root", F.col("node")) if label is None else settle(_rooted(shared, label))
     groups = rooted.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("pos", F.xxhash64("node").alias("by"), "node", "n", "root")).alias("y"))
-    groups = settle(groups.where("low != high").select("g", "rows", F.struct("y.node", "y.n", "y.root").alias("y")))
+    groups = settle(groups.where("low != high").select("g", "rows", F.col("rows").alias("size"), F.struct("y.node", "y.n", "y.root").alias("y")))
     return settle(join_hot(may_match(rooted, "g", groups), groups, "g", "rows", how="inner"))
 
 
-def links(texts: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node and n of every row of texts (doc_id, text), and pairs (a, b) of alike nodes that connect all that are alike."""
+def links(texts: DataFrame, like: Likeness = Likeness(), first: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, node and n of every row of texts (doc_id, text), and pairs (a, b) of alike nodes that connect all that are alike.
+
+    `first` may give pairs (a, b) of nodes by the SimHash of their n-grams (node, fp), to be verified before all others.
+    """
     spark = texts.sparkSession
-    found = settle(heads(texts, like))
-    rows = settle(found.select("doc_id", "node", "n"))
-    nodes = settle(found.where("node is not null").groupBy("node").agg(F.first(F.struct("source", "n", "head", "rest")).alias("s")).select("node", "s.*"))
+    found = settle(heads(texts, like, first is not None))
+    rows = settle(found.select("doc_id", "source", "node", "n"))
+    kept = ["source", "n", "head", "rest", *(["fp"] if first else [])]
+    nodes = settle(found.where("node is not null").groupBy("node").agg(F.first(F.struct(*kept)).alias("s")).select("node", "s.*"))
     del found
     release(spark)
     places = nodes.select("node", "n", F.posexplode("head").alias("pos", "g"))
@@ -220,6 +227,11 @@ def links(texts: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, Dat
     release(spark)
     linked = tested = spark.createDataFrame([], "a long, b long")
     label = None
+    if first is not None:
+        tested = settle(first(nodes.select("node", "fp")))
+        linked = settle(_verified(_fitting(tested, nodes, like), nodes, texts, like))
+        label = settle(components(linked))
+        release(spark)
     for _ in range(MEETINGS):
         apart = _apart(shared, label)
         met = apart.where((F.col("root") != F.col("y.root")) & like.near(F.col("n"), F.col("y.n"))).groupBy(F.col("node").alias("a"), F.col("y.node").alias("b")).count()
@@ -243,19 +255,27 @@ def links(texts: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, Dat
 
 
 def _between(apart: DataFrame, like: Likeness) -> DataFrame:
-    """All pairs (a, b) that meet at a key and are in different components, by the length filter and the number of their keys.
-
-    Of a key's nodes many may be in one component; at least one end of each pair isn't in that of the node to meet.
+    """All pairs (a, b) that meet at a key and are in different components, by the length and positional filters, each once or a few times.
+
+    At a key, a node has in common with any other no more than what stands behind, the key itself, and those keys before it
+    at which nodes of different components meet: of the others before it, none is in a set that has this key in its prefix.
+    So it is alike to sets up to a largest size only (reach), and the smaller node of a pair must reach the larger one's. Behind
+    the prefixes there is no more in common than the larger set's rest, so two alike nodes share a number of keys at least;
+    it's enough that they meet at one of the rarest, so many that the others of either are fewer than that (left). And at
+    least one end of each pair isn't in the component of the key's first node.
     """
-    minor = apart.where("root != y.root").select("g", F.col("node").alias("a"), "n", F.col("root").alias("a_root"))
-    every = apart.select("g", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("b_root"), (F.col("root") == F.col("y.root")).alias("is_main"))
-    met = minor.join(every, "g").where((F.col("a_root") != F.col("b_root")) & (F.col("is_main") | (F.col("a") > F.col("b"))) & like.near(F.col("n"), F.col("m")))
-    turned = F.col("a") < F.col("b")
-    either = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
-    pairs = met.groupBy(either("a", "b").alias("a"), either("b", "a").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
-    # What stands behind the prefix that ends first is no more than the larger set's rest.
-    most = F.least(F.col("k") + F.ceil(F.greatest("n", "m") * like.part / like.whole) - 1, "n", "m")
-    return pairs.where(like.fits(most, F.col("n") + F.col("m"))).select("a", "b")
+    of_node = Window.partitionBy("node")
+    before = F.row_number().over(of_node.orderBy("pos")) - 1
+    reach = F.floor((F.col("n") - F.col("pos") + before) * (like.part + like.whole) / like.part) - F.col("n")
+    left = F.count(F.lit(1)).over(of_node) - F.row_number().over(of_node.orderBy("size", "g")) + 1
+    rows = apart.select("g", "node", "n", "root", (F.col("root") == F.col("y.root")).alias("main"), reach.alias("reach"), left.alias("left"))
+    small = rows.where("reach >= n").select("g", F.col("node").alias("a"), "n", F.col("root").alias("a_root"), F.col("main").alias("a_main"), "reach", F.col("left").alias("a_left"))
+    large = rows.select("g", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("b_root"), F.col("main").alias("b_main"), F.col("reach").alias("b_reach"), F.col("left").alias("b_left"))
+    fits = (F.col("a_root") != F.col("b_root")) & F.col("m").between(F.col("n"), F.col("reach")) & (F.col("n") <= F.col("b_reach")) & ((F.col("n") < F.col("m")) | (F.col("a") < F.col("b")))
+    shared = F.ceil((F.col("n") + F.col("m")) * like.part / (like.part + like.whole)) - F.ceil(F.col("m") * like.part / like.whole) + 1
+    fits = fits & (F.least("a_left", "b_left") >= shared)
+    met = small.where("not a_main").join(large, "g").where(fits).union(small.where("a_main").join(large.where("not b_main"), "g").where(fits))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def component_ids(rows: DataFrame, edges: DataFrame) -> DataFrame:
