@@ -66,6 +66,16 @@ def test_planted_and_edges(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").collect() == []
 
 
+def test_rows_are_judged_not_ids(spark):
+    """An id with several texts: each row goes or stays by its own text."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, b), (5, a), (5, b), (6, c), (6, c), (6, c + " more"), (7, c), (None, a), (8, None), (9, "")]
+    for one in (rows, rows[::-1]):
+        kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, documents(spark, one), "").collect()]
+        assert sorted(i or 0 for i, _ in kept) == [0, 1, 5, 6, 8]
+        assert {(1, b), (5, a), (None, a), (8, None)} < set(kept)
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", MIDDLE])
 def test_given_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")

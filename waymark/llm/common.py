@@ -230,6 +230,13 @@ def may_match(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return df.withColumn("_word", word).join(F.broadcast(slots), "_word").where(F.bit_get("_bits", bit) == 1).select(*df.columns)
 
 
+def flagged(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """df with a flag of the rows that may_match() lets through."""
+    word, bit = F.pmod(F.shiftright(F.col(key), 6), F.lit(FILTER_WORDS)).cast("int"), F.col(key).bitwiseAND(F.lit(63)).cast("int")
+    slots = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    return df.withColumn("_word", word).join(F.broadcast(slots), "_word", "left").withColumn(flag, F.coalesce(F.bit_get("_bits", bit) == 1, F.lit(False))).select(*df.columns, flag)
+
+
 #: A key with more than one row in so many is hot: by arithmetic there are at most so many of them.
 SHARE = 1000
 

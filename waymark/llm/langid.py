@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import code_points, filter_rows, held_out, map_rows, settle, text_groups
+from waymark.llm.common import code_points, filter_rows, held_out, map_rows, settle, text_groups, tuned
 
 #: Buckets of n-grams (a power of two), and the orders of n-gram.
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
@@ -107,6 +107,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     within part / count, a sample of whole texts that depends on ids alone; of one that has fewer, all. How frequent
     languages are is counted on all documents. Rows that repeat count as often.
     """
+    tuned(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     there = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not there:
@@ -139,8 +140,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v[0] for v in sums.values()]), pa.array([v[1].tobytes() for v in sums.values()])], ["lang", "n", "counts"])
 
     schema = "lang string, n long, counts binary"
-    # Each task adds up its own batches; one row for each task and language is left, which a few tasks add up again.
-    partial = map_rows(labelled.select("text", "lang"), count, schema).mapInArrow(add, schema)
+    # Each task adds up its own batches; one row for each task and language is left, which a few tasks add up again. A task has
+    # one Python worker for both steps: idle workers stay, and take turns in what comes later.
+    partial = labelled.select("text", "lang").mapInArrow(lambda batches: add(count(b) for b in batches if b.num_rows), schema)
     sums = settle(partial.repartition(4, F.xxhash64("lang"))).mapInArrow(add, schema).collect()
     if not sums:
         return None

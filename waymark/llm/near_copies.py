@@ -1,207 +1,43 @@
 """Operator 7 on word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-First come the fingerprints of operator 7, made from the sets: multi-index hashing fetches those within two bits, and the
-sets' similarity is verified. But sets that are 0.8 alike differ in about ten bits of 64, more than balls within segments
-can enumerate. So a second, exact search follows. Of two sets that are so alike, each holds four fifths of the other, so
-in any one order of all shingles the first fifth (and one more) of each has a shingle in common. Rare shingles come first
-in that order: those that many texts share are counted on a sample, which decides how many candidates there are and never
-which pairs are found. And what two heads have in common, with all that is behind the one that ends first, must leave room
-for four fifths. Equal sets are one node. All nodes of a shingle meet a few of them; only what is then still in
-different components meets pair by pair, so a group of many near copies makes no square of candidates.
+First come the fingerprints of operator 7, made from the shingles: multi-index hashing fetches those within two bits, and the
+sets' similarity is verified. But sets that are 0.8 alike differ in about ten bits of 64, more than balls within segments can
+enumerate. So what fingerprints leave apart goes through an exact join of the same sets by prefix filtering.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import simhash
-from waymark.llm.common import blocks, gram_hashes, join_hot, map_rows, may_match, mix, release, run_hashes, settle
-from waymark.operators.matching import components
+from waymark.llm.common import join_hot, settle
+from waymark.llm.ngram_join import Likeness, component_ids, links
 
-#: Words of a shingle. Two sets are alike if 5 * common >= 4 * all, that is 9 * common >= 4 * (their sizes' sum).
-SHINGLE = 5
-#: Texts on which shingles are counted, and how many of the frequent ones the order regards. Neither changes the result.
-COUNTED, FREQUENT = 4_000, 200_000
-#: Nodes of a shingle, chosen at random, that all others meet before those still apart meet pair by pair. It doesn't change the result.
-MEETINGS = 6
-#: Slots of the table by which texts without any candidate are passed over.
-SLOTS = 1 << 20
-
-_WORD = np.ones(256, bool)
-_WORD[[0x20, *range(0x09, 0x0E)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
-
-
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """The hashes of each text's distinct shingles, ascending; a text of fewer words is one shingle, one of none has none."""
-    out = []
-    for _, _, block in blocks(column):
-        data = _LOWER[block.data]
-        begins, ends = block.runs(_WORD[data])
-        n = np.bincount(np.searchsorted(block.offsets, begins, side="right") - 1, minlength=len(block))
-        hashes = run_hashes(data, begins, ends)
-        grams = gram_hashes(hashes, SHINGLE)
-        for at, m in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
-            if m >= SHINGLE:
-                out.append(np.unique(grams[at : at + m - SHINGLE + 1]))
-            else:
-                out.append(gram_hashes(hashes[at : at + m], m) if m else hashes[:0])
-    return out
-
-
-def _node(found: np.ndarray) -> int:
-    """A hash of a set of hashes; zero for the empty set."""
-    return int(mix(found.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(found))).view(np.int64)[0]) if len(found) else 0
-
-
-def _lists(sets: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
-
-
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, ascending, and in how many; at most FREQUENT."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch.column(1))).view(np.int64))], ["shingle"])
-
-    share = min(1.0, COUNTED / max(1, texts.count()))
-    counted = map_rows(texts if share == 1 else texts.sample(share, 7), work, "shingle long").groupBy("shingle").count().where("count > 2")
-    rows = counted.orderBy(F.desc("count"), "shingle").limit(FREQUENT).toPandas()
-    found, counts = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
-    order = np.argsort(found)
-    return found[order], counts[order]
-
-
-def _heads(texts: DataFrame) -> DataFrame:
-    """doc_id, node, n (shingles of the set), fp (their SimHash) and head (the set's first fifth and one more) of every row."""
-    frequent, counts = _frequent(texts)
-
-    def head(found: np.ndarray) -> np.ndarray:
-        if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-            found = found[np.argsort(np.where(frequent[at] == found, counts[at], 0), kind="stable")]
-        return found[: len(found) - (4 * len(found) + 4) // 5 + 1] if len(found) else found
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1))
-        sizes = np.array([len(s) for s in sets], np.int64)
-        prints = np.concatenate([simhash.majority(np.concatenate([*sets[k : k + 64], np.zeros(0, np.uint64)]), sizes[k : k + 64]) for k in range(0, len(sets), 64)])
-        columns = [batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(sizes), pa.array(prints.view(np.int64)), _lists([head(s) for s in sets])]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "head"])
-
-    return map_rows(texts, work, "doc_id long, node long, n long, fp long, head array<long>")
-
-
-def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and shingles (the whole set) of the texts of these nodes, once each."""
-    slots = nodes.select(F.expr(f"node & {SLOTS - 1}").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
-    wanted = np.zeros(SLOTS, bool)
-    wanted[slots] = True
-    bits = np.packbits(wanted)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = np.unpackbits(bits).astype(bool)
-        sets = {v: s for s in shingle_sets(batch.column(1)) if known[(v := _node(s)) & (SLOTS - 1)]}
-        return pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), _lists(list(sets.values()))], ["node", "shingles"])
-
-    return map_rows(texts, work, "node long, shingles array<long>").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-
-
-def _fitting(met: DataFrame) -> DataFrame:
-    """The pairs (a, b) of what met (node, n, other, m: a row for each shingle in common of two heads) that may be alike.
-
-    Of two heads one ends first in the order of all shingles: no shingle of it stands behind the other head. So the sets
-    have no more in common than the heads and all that is behind this one.
-    """
-    turned = F.col("node") > F.col("other")
-    either = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
-    pairs = met.where("node != other").groupBy(either("node", "other").alias("a"), either("other", "node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
-    common = F.least(F.col("k") + F.expr("(4 * greatest(n, m) + 4) div 5 - 1"), "n", "m")
-    return pairs.where(9 * common >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
-
-
-def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are alike; only the sets of these nodes are read from the texts."""
-    sets = settle(_sets(texts, settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
-    return both.where(9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")
+#: Five-word shingles, alike at 0.8.
+ALIKE = Likeness(5, 4, 5)
 
 
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
 
 
-def _by_fingerprint(once: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of nodes: those with one fingerprint meet the smallest of them, and these meet over operator 7's links."""
-    first = settle(once.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("rows")))
-    same = join_hot(once.select("fp", "node"), settle(first.where("rows > 1")), "fp", "rows", how="inner").select("node", "first")
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of nodes (node, fp): those with one fingerprint meet the smallest of them, and these meet over operator 7's links."""
+    first = settle(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("rows")))
+    same = join_hot(nodes.select("fp", "node"), settle(first.where("rows > 1")), "fp", "rows", how="inner").select("node", "first")
     met = simhash.links(first.select("fp"))
     of = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}"))
     return _pairs(same, "node", "first").union(_pairs(met.join(of("a"), "a").join(of("b"), "b"), "first_a", "first_b"))
 
 
-def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id and node of every row, and pairs (a, b) of alike nodes that connect all that are alike."""
-    spark = texts.sparkSession
-    heads = settle(_heads(texts))
-    rows = settle(heads.select("doc_id", "node"))
-    once = settle(heads.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head")))
-    del heads
-    release(spark)
-    prints = settle(once.select("fp", "node"))
-    places = once.select("node", "n", F.explode("head").alias("shingle"))
-    counted = settle(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    # Of all places only those of shared shingles go on.
-    shared = settle(join_hot(may_match(places, "shingle", counted), counted, "shingle", "rows", how="inner").select("shingle", "node", "n"))
-    del once, places, counted
-    release(spark)
-    least = settle(shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("node", "n")).alias("y")))
-    met = join_hot(shared, least, "shingle", "rows", how="inner").select("node", "n", F.col("y.node").alias("other"), F.col("y.n").alias("m"))
-    tested = settle(_fitting(met).union(_by_fingerprint(prints)).distinct())
-    del prints, least, met
-    linked = settle(_alike(tested, texts))
-    release(spark)
-    for last in (False, True):
-        apart = _apart(shared, linked)
-        if apart.isEmpty():
-            break
-        if last:
-            # Each two nodes in different components once for each shingle. One of them at least isn't in the component of the
-            # first node to meet, which was chosen at random and so is likely to be in the largest.
-            minor = apart.where(F.col("root") != F.get("meet", F.lit(0))["root"])
-            y = apart.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"), (F.col("root") == F.get("meet", F.lit(0))["root"]).alias("is_main"))
-            met = minor.join(y, "shingle").where((F.col("root") != F.col("its")) & (F.col("is_main") | (F.col("node") > F.col("other"))))
-        else:
-            met = apart.select("node", "n", "root", F.explode("meet").alias("meet")).where("root != meet.root").select("node", "n", F.col("meet.node").alias("other"), F.col("meet.n").alias("m"))
-        pairs = settle(_fitting(met.select("node", "n", "other", "m")).join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tested, linked = settle(tested.union(pairs)), settle(linked.union(_alike(pairs, texts)))
-        del apart, met, pairs
-        release(spark)
-    return rows, linked
-
-
-def _apart(shared: DataFrame, linked: DataFrame) -> DataFrame:
-    """The rows of shingles whose nodes are in several components so far, with theirs and MEETINGS nodes to meet."""
-    label = settle(components(linked))
-    rooted = shared.join(label, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
-    chosen = [F.min_by(F.struct("node", "n", "root"), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias(f"meet_{k}") for k in range(MEETINGS)]
-    groups = rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"), *chosen)
-    groups = settle(groups.where("low != high").select("shingle", "rows", F.array_distinct(F.array(*[f"meet_{k}" for k in range(MEETINGS)])).alias("meet")))
-    return settle(join_hot(may_match(rooted, "shingle", groups), groups, "shingle", "rows", how="inner"))
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the smallest id of their group of near copies, with all their columns.
 
-    A group is what is connected by alike pairs; texts without a word (null, empty) are a group. Rows without an id stay,
-    a row repeated with its id and text stays once, an empty table gives none. Texts of any length are compared whole.
+    A group is what is connected by alike pairs; texts without a word (null, empty) are a group. Of rows of one group with
+    its smallest id one text stays, and a row repeated with its id and text stays once; a row whose id is first in another
+    group goes all the same. Rows without an id stay. An empty table gives none. Texts of any length are compared whole.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, linked = links(texts)
-    return simhash.first_of_each(docs, simhash.with_components(rows.withColumnRenamed("node", "fingerprint"), linked))
+    rows, linked = links(texts, ALIKE, by_fingerprint)
+    return simhash.first_of_each(docs, component_ids(rows.withColumn("node", F.coalesce("node", F.lit(0))), linked))

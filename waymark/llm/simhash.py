@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import join_hot, map_rows, settle, text_groups
+from waymark.llm.common import flagged, join_hot, map_rows, release, settle, text_groups
 from waymark.operators.matching import components
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
@@ -74,15 +74,17 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row; a null text has no words. No shuffle."""
+def fingerprints(docs: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id and fingerprint (as a signed long) of every row, and more longs of it; a null text has no words. No shuffle."""
+    names = list(more or {})
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist()
         found = np.concatenate([fingerprints_of(texts[i:j]) for i, j in text_groups(texts)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *[batch.column(c) for c in names]], ["doc_id", "fingerprint", *names])
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(name) for name, c in (more or {}).items()])
+    return map_rows(rows, work, "".join(["doc_id long, fingerprint long", *[f", {c} long" for c in names]]))
 
 
 def _flipped(value: Column, bits: range) -> list[Column]:
@@ -129,10 +131,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return with_components(settle(fingerprints(docs)))
 
 
-def with_components(rows: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """near_duplicates() of rows of doc_id and fingerprint, over the edges (a, b) between fingerprints or else their links."""
+def with_components(rows: DataFrame) -> DataFrame:
+    """near_duplicates() of rows of doc_id, fingerprint and more."""
     groups = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
-    label = settle(components(links(groups.select(F.col("fingerprint").alias("fp"))) if edges is None else edges))
+    label = settle(components(links(groups.select(F.col("fingerprint").alias("fp")))))
     joined = groups.join(label, groups.fingerprint == label.node, "left")
     linked = settle(joined.where("root is not null").select("fingerprint", "n", "root", "least_id"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -140,24 +142,34 @@ def with_components(rows: DataFrame, edges: DataFrame | None = None) -> DataFram
     classes = settle(linked.join(least, "root").select("fingerprint", "n", "component_id").union(alone))
     out = join_hot(rows, classes, "fingerprint", "n")
     # A fingerprint that one row alone has, linked to no other, is a component of its own.
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    more = [c for c in rows.columns if c not in ("doc_id", "fingerprint")]
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the smallest id of their group, with all their columns.
 
-    Rows without an id can't be told apart by one: they stay. A row repeated with its id and text stays once.
+    Rows without an id can't be told apart by one: they stay. Of rows of one group with its smallest id one text stays; a
+    row repeated with its id and text stays once. A row whose id is first in another group goes all the same.
     """
-    return first_of_each(docs, near_duplicates(docs))
+    return first_of_each(docs, with_components(settle(fingerprints(docs, {"source": F.xxhash64(F.col("text").cast("string"))}))))
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """one_of_each() of docs by the doc_id and component_id of every row."""
-    named = settle(found.where("doc_id is not null"))
-    ids = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    gone = ids.where("not first").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    if ids.where("n > 1 and first").isEmpty():
-        return kept
-    first = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return first.unionByName(kept.where("doc_id is null"))
+    """one_of_each() of docs by the doc_id, source (xxhash64 of the text) and component_id of every row.
+
+    Only rows that go or are repeated, as far as a filter of fixed size can tell them, are shuffled.
+    """
+    spark = docs.sparkSession
+    named = settle(found.where("doc_id is not null").groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("component_id")))
+    first = named.where("doc_id = component_id").groupBy("doc_id").agg(F.min("source").alias("_source"), F.lit(True).alias("_first"))
+    judged = named.join(first, "doc_id", "left").withColumn("stays", F.coalesce((F.col("component_id") == F.col("doc_id")) & (F.col("source") == F.col("_source")), F.lit(False)))
+    known = settle(judged.where("n > 1 or not stays").select(F.xxhash64("doc_id", "source").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_of"), "stays"))
+    doc_id, source = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    told = flagged(docs.withColumn("_row", F.xxhash64(doc_id, source)), "_row", known, "_maybe")
+    plain = told.where(~F.col("_maybe") | doc_id.isNull()).select(*docs.columns)
+    maybe = told.where(F.col("_maybe") & doc_id.isNotNull()).select(*docs.columns)
+    gone = known.where("not stays")
+    left = maybe.join(gone, (maybe["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(maybe["text"].cast("string")) == gone["_of"]), "left_anti")
+    release(spark)
+    return plain.unionByName(left.dropDuplicates(["doc_id", "text"]))
