@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, jsonx, text
-from waymark.operators import search
+from waymark.operators import locating, search
 from waymark.queries.registry import Tables, query
 
 _CITY, _STATE = "nation_3", "s3"
@@ -235,10 +235,11 @@ def locate_once(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.locate_once(quoted, F.col("text")).alias("at")).select("doc_id", "at.status", "at.start")
 
 
-@query()
+@query("""
+WITH x AS (SELECT doc_id, item_id, d.text AS t, b.text AS e, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS n, (length(d.text) - length(replace(lower(d.text), lower(b.text), ''))) // length(b.text) AS m
+  FROM {documents} d JOIN {benchmark} b ON (contains(lower(d.text), lower(b.text)) OR contains(d.text, b.text)) AND trim(b.text) <> '')
+SELECT doc_id, item_id, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' WHEN m = 1 THEN 'folded' WHEN m > 1 THEN 'ambiguous' ELSE 'missing' END AS status, CASE WHEN n = 1 THEN strpos(t, e) - 1 WHEN n = 0 AND m = 1 THEN strpos(lower(t), lower(e)) - 1 END AS start FROM x""")
 def locate_every(t: Tables) -> DataFrame:
-    """Where each item stands in each document that holds it in any case (T11); pairs that aren't there are missing. The tests hold it to brute force."""
-    items = t.benchmark.select("item_id", F.col("text").alias("item"), F.lower("text").alias("_item"))
-    docs = t.documents.select("doc_id", "text", F.lower("text").alias("_text"))
-    met = docs.join(F.broadcast(items), F.contains("_text", "_item") | F.contains("text", "item"))
+    """Where each item stands in each document that holds it in any case (T11); pairs that aren't there are missing."""
+    met = locating.holders(t.documents, t.benchmark.withColumnRenamed("text", "item"), "doc_id", "item_id")
     return met.select("doc_id", "item_id", text.locate_once(F.col("item"), F.col("text")).alias("at")).select("doc_id", "item_id", "at.status", "at.start")
