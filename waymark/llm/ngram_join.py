@@ -120,6 +120,13 @@ def frequency_classes(texts: DataFrame, like: Likeness) -> np.ndarray:
     return out
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """settle(), and the shuffles that led there go: with many partitions even small ones take room on disk."""
+    out = settle(df)
+    release(df.sparkSession)
+    return out
+
+
 def _node(found: np.ndarray) -> int | None:
     """A hash of a set of keys; null for the empty set."""
     return int(mix(mix(found).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(found))).view(np.int64)[0]) if len(found) else None
@@ -170,11 +177,11 @@ def _fitting(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike; b is the hub. Only the texts of these nodes are moved."""
     source = lambda end: nodes.select(F.col("node").alias(end), F.col("source").alias(f"{end}_source"))
-    pairs = settle(pairs.select("a", "b").join(source("a"), "a").join(source("b"), "b"))
-    hubs = settle(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("rows"), F.first("b_source").alias("source")).withColumn("parts", F.ceil(F.col("rows") / PAIRS_A_HUB).cast("int")))
+    pairs = _kept(pairs.select("a", "b").join(source("a"), "a").join(source("b"), "b"))
+    hubs = _kept(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("rows"), F.first("b_source").alias("source")).withColumn("parts", F.ceil(F.col("rows") / PAIRS_A_HUB).cast("int")))
     member = join_hot(pairs, hubs.select("b", "rows", "parts"), "b", "rows", how="inner").select(F.col("a_source").alias("source"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.col("a").alias("node"), F.lit(1).alias("turn"))
     hub = hubs.select("source", F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("node"), F.lit(0).alias("turn"))
-    ways = settle(member.union(hub))
+    ways = _kept(member.union(hub))
     wanted = may_match(texts.select(F.xxhash64("text").alias("source"), "text"), "source", ways).dropDuplicates(["source"])
     moved = wanted.join(ways.hint("shuffle_hash"), "source").repartition("hub", "part").sortWithinPartitions("hub", "part", "turn").select("hub", "node", "turn", "text")
 
@@ -202,10 +209,10 @@ def _rooted(rows: DataFrame, label: DataFrame, key: str = "node", name: str = "r
 
 def _apart(shared: DataFrame, label: DataFrame | None) -> DataFrame:
     """Of the keys whose nodes are in several components, all rows (g, node, n, pos, root), how many each key has (size), and y, the node to meet: where the key comes first."""
-    rooted = shared.withColumn("root", F.col("node")) if label is None else settle(_rooted(shared, label))
+    rooted = shared.withColumn("root", F.col("node")) if label is None else _kept(_rooted(shared, label))
     groups = rooted.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("pos", F.xxhash64("node").alias("by"), "node", "n", "root")).alias("y"))
-    groups = settle(groups.where("low != high").select("g", "rows", F.col("rows").alias("size"), F.struct("y.node", "y.n", "y.root").alias("y")))
-    return settle(join_hot(may_match(rooted, "g", groups), groups, "g", "rows", how="inner"))
+    groups = _kept(groups.where("low != high").select("g", "rows", F.col("rows").alias("size"), F.struct("y.node", "y.n", "y.root").alias("y")))
+    return _kept(join_hot(may_match(rooted, "g", groups), groups, "g", "rows", how="inner"))
 
 
 def links(texts: DataFrame, like: Likeness = Likeness(), first: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -228,9 +235,9 @@ def links(texts: DataFrame, like: Likeness = Likeness(), first: Callable[[DataFr
     linked = tested = spark.createDataFrame([], "a long, b long")
     label = None
     if first is not None:
-        tested = settle(first(nodes.select("node", "fp")))
-        linked = settle(_verified(_fitting(tested, nodes, like), nodes, texts, like))
-        label = settle(components(linked))
+        tested = _kept(first(nodes.select("node", "fp")))
+        linked = _kept(_verified(_fitting(tested, nodes, like), nodes, texts, like))
+        label = _kept(components(linked))
         release(spark)
     for _ in range(MEETINGS):
         apart = _apart(shared, label)
@@ -238,15 +245,15 @@ def links(texts: DataFrame, like: Likeness = Likeness(), first: Callable[[DataFr
         if label is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
         # Of the nodes that it meets, the one at most keys.
-        best = settle(met.groupBy("a").agg(F.max(F.struct("count", "b")).alias("y")).select("a", "y.b"))
-        new = settle(_verified(_fitting(best, nodes, like), nodes, texts, like))
+        best = _kept(met.groupBy("a").agg(F.max(F.struct("count", "b")).alias("y")).select("a", "y.b"))
+        new = _kept(_verified(_fitting(best, nodes, like), nodes, texts, like))
         tested, linked = tested.union(best), linked.union(new)
-        label = settle(components(linked))
+        label = _kept(components(linked))
         del apart, met, best, new
         release(spark)
     pairs = _between(_apart(shared, label), like)
     both = tested.union(tested.select("b", "a"))
-    pairs = settle(_fitting(pairs.join(both, ["a", "b"], "left_anti"), nodes, like))
+    pairs = _kept(_fitting(pairs.join(both, ["a", "b"], "left_anti"), nodes, like))
     if not pairs.isEmpty():
         linked = settle(linked.union(_verified(pairs, nodes, texts, like)))
     del pairs, both, tested, shared, label
