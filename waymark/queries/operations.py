@@ -271,7 +271,7 @@ def token_set_match(t: Tables) -> DataFrame:
 def fuzzy_dedup(t: Tables) -> DataFrame:
     """Near-equal names within a block, who stays, and merged groups (J11, T23, B10). The score is no SQL function: the tests hold it to brute force."""
     rows = t.places.select("place_id", F.btrim("name").alias("name"), F.lower("city").alias("city"), F.upper("state").alias("state"), F.col("place_id").cast("int").alias("weight")).withColumn("weight", F.when(F.col("weight") % 2 == 0, 3).otherwise(1))
-    return matching.merged_duplicates(matching.fuzzy_pairs(rows, ["city", "state"], least=94.0))
+    return matching.merged_names(rows, ["city", "state"], least=94.0)
 
 
 @query("""
