@@ -264,7 +264,7 @@ WHERE len(list_intersect(a.w, b.w)) > 0 AND (len(list_intersect(a.w, b.w)) >= 0.
 def token_set_match(t: Tables) -> DataFrame:
     """Names of a block with alike words."""
     names = t.part.select(F.col("p_partkey").alias("id"), "p_brand", text.name_tokens(F.col("p_name")).alias("tokens"))
-    return matching.token_set_pairs(names, names, "p_brand").where("a < b")
+    return matching.token_set_pairs(names, names, "p_brand", ordered=True)
 
 
 @query()
