@@ -82,3 +82,18 @@ def test_pricing_is_an_exact_knapsack():
     for room in range(1, 31):
         best[room] = max([best[room - 1], *(best[room - a] + price[a] for a in range(1, room + 1) if price[a] > 0)])
     assert sum(price[a] * n for a, n in chosen.items()) == pytest.approx(best[30])
+
+
+def test_common_words_outlast_words_that_come_once():
+    from waymark.llm.bpe import WordIds
+
+    encoder, learned = WordIds(PATH), []
+    encoder.most = 400
+    learn = encoder.learn
+    encoder.learn = lambda new: (learned.extend(new), learn(new))
+    common = [f"word{chr(97 + k)}" for k in range(20)]
+    for n in range(30):
+        texts = [" ".join([*common, *[f"once{n}x{k}, often." for k in range(60)]])]
+        assert encoder.texts(texts) == [b"".join(encoder.encoded([t])[0] for t in texts)]
+    assert [learned.count(w) for w in common] == [1] * 20
+    assert len(encoder.met) + len(encoder.before) <= 2 * 400
