@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.operators.spreading import in_few
+
 #: Rows that go to a Python worker at once: a few MB of text, and one very long text costs no more than itself.
 ARROW_ROWS = 512
 #: Bytes of such a batch, so that rows with long texts make smaller ones.
@@ -211,6 +213,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle_narrow(df: DataFrame) -> DataFrame:
+    """settle() of narrow rows, counted as they are written: few are read in few tasks."""
+    seen = Observation()
+    out = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return in_few(out, seen.get["rows"])
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows that learning leaves aside: crc32 of the id as text, modulo 4, is 2. A null id is learned from never."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))

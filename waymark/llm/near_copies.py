@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import simhash
-from waymark.llm.common import join_hot, release, settle
+from waymark.llm.common import join_hot, release, settle_narrow
 from waymark.llm.ngram_join import Likeness, component_ids, links
 
 #: Five-word shingles, alike at 0.8.
@@ -24,9 +24,9 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def by_fingerprint(nodes: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of nodes (node, fp): those with one fingerprint meet the smallest of them, and these meet over operator 7's links."""
-    first = settle(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("rows")))
-    same = join_hot(nodes.select("fp", "node"), settle(first.where("rows > 1")), "fp", "rows", how="inner").select("node", "first")
-    met = settle(simhash.links(first.select("fp")))
+    first = settle_narrow(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("rows")))
+    same = join_hot(nodes.select("fp", "node"), settle_narrow(first.where("rows > 1")), "fp", "rows", how="inner").select("node", "first")
+    met = settle_narrow(simhash.links(first.select("fp")))
     release(nodes.sparkSession)
     of = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}"))
     return _pairs(same, "node", "first").union(_pairs(met.join(of("a"), "a").join(of("b"), "b"), "first_a", "first_b"))

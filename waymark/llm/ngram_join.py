@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm import simhash
-from waymark.llm.common import blocks, gram_hashes, join_hot, map_rows, may_match, mix, release, run_hashes, settle, tuned
+from waymark.llm.common import blocks, gram_hashes, join_hot, map_rows, may_match, mix, release, run_hashes, settle, settle_narrow, tuned
 from waymark.operators.matching import components
 
 #: Slots of the table of frequencies, and how many of them one row holds.
@@ -121,8 +121,8 @@ def frequency_classes(texts: DataFrame, like: Likeness) -> np.ndarray:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """settle(), and the shuffles that led there go: with many partitions even small ones take room on disk."""
-    out = settle(df)
+    """settle_narrow(), and the shuffles that led there go: with many partitions even small ones take room on disk."""
+    out = settle_narrow(df)
     release(df.sparkSession)
     return out
 
@@ -255,7 +255,7 @@ def links(texts: DataFrame, like: Likeness = Likeness(), first: Callable[[DataFr
     both = tested.union(tested.select("b", "a"))
     pairs = _kept(_fitting(pairs.join(both, ["a", "b"], "left_anti"), nodes, like))
     if not pairs.isEmpty():
-        linked = settle(linked.union(_verified(pairs, nodes, texts, like)))
+        linked = settle_narrow(linked.union(_verified(pairs, nodes, texts, like)))
     del pairs, both, tested, shared, label
     release(spark)
     return rows, linked
@@ -290,11 +290,11 @@ def component_ids(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
     A row without a node is a component of its own, whose id is the row's.
     """
-    groups = settle(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_rows")))
-    label = settle(components(edges))
-    rooted = settle(_rooted(groups, label))
+    groups = settle_narrow(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_rows")))
+    label = settle_narrow(components(edges))
+    rooted = settle_narrow(_rooted(groups, label))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = settle(rooted.join(least, "root").where("_rows > 1 or component_id is distinct from least").select("node", "_rows", "component_id"))
+    classes = settle_narrow(rooted.join(least, "root").where("_rows > 1 or component_id is distinct from least").select("node", "_rows", "component_id"))
     # A node of one row that no other reaches needs no class: its id is its row's.
     return join_hot(rows, classes, "node", "_rows").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import flagged, join_hot, map_rows, release, settle, text_groups
+from waymark.llm.common import flagged, join_hot, map_rows, release, settle, settle_narrow, text_groups
 from waymark.operators.matching import components
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
@@ -100,13 +100,13 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     # The upper segment's values are told from the lower one's by a bit above them.
     low, high = F.col("fp").bitwiseAND(F.lit(2**half - 1)), F.shiftrightunsigned("fp", half).bitwiseOR(F.lit(2**half))
     table = spread.select("fp", F.explode(F.array(low, high)).alias("bucket"))
-    crowded = settle(table.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("bucket"))
+    crowded = settle_narrow(table.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("bucket"))
     entries = table.join(crowded, "bucket", "left_anti").select("bucket", F.col("fp").alias("b"))
     entries = entries.union(crowded.select("bucket", F.lit(None).cast("long").alias("b")))
     balls = F.array(low, high, *_flipped(low, range(half)), *_flipped(high, range(half)))
     fetched = spread.select(F.col("fp").alias("a"), F.explode(balls).alias("bucket")).join(entries.hint("shuffle_hash"), "bucket").select("a", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    met = settle(fetched.where(F.col("b").isNull() | ((F.col("a") > F.col("b")) & near)).distinct())
+    met = settle_narrow(fetched.where(F.col("b").isNull() | ((F.col("a") > F.col("b")) & near)).distinct())
     return met.where("b is not null").union(_links_by_whole_value(met.where("b is null").select(F.col("a").alias("fp")))).distinct()
 
 
@@ -133,13 +133,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def with_components(rows: DataFrame) -> DataFrame:
     """near_duplicates() of rows of doc_id, fingerprint and more."""
-    groups = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
-    label = settle(components(links(groups.select(F.col("fingerprint").alias("fp")))))
+    groups = settle_narrow(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
+    label = settle_narrow(components(links(groups.select(F.col("fingerprint").alias("fp")))))
     joined = groups.join(label, groups.fingerprint == label.node, "left")
-    linked = settle(joined.where("root is not null").select("fingerprint", "n", "root", "least_id"))
+    linked = settle_narrow(joined.where("root is not null").select("fingerprint", "n", "root", "least_id"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     alone = joined.where("root is null and n > 1").select("fingerprint", "n", F.col("least_id").alias("component_id"))
-    classes = settle(linked.join(least, "root").select("fingerprint", "n", "component_id").union(alone))
+    classes = settle_narrow(linked.join(least, "root").select("fingerprint", "n", "component_id").union(alone))
     out = join_hot(rows, classes, "fingerprint", "n")
     # A fingerprint that one row alone has, linked to no other, is a component of its own.
     more = [c for c in rows.columns if c not in ("doc_id", "fingerprint")]
@@ -161,10 +161,10 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     Only rows that go or are repeated, as far as a filter of fixed size can tell them, are shuffled.
     """
     spark = docs.sparkSession
-    named = settle(found.where("doc_id is not null").groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("component_id")))
+    named = settle_narrow(found.where("doc_id is not null").groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("component_id")))
     first = named.where("doc_id = component_id").groupBy("doc_id").agg(F.min("source").alias("_source"), F.lit(True).alias("_first"))
     judged = named.join(first, "doc_id", "left").withColumn("stays", F.coalesce((F.col("component_id") == F.col("doc_id")) & (F.col("source") == F.col("_source")), F.lit(False)))
-    known = settle(judged.where("n > 1 or not stays").select(F.xxhash64("doc_id", "source").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_of"), "stays"))
+    known = settle_narrow(judged.where("n > 1 or not stays").select(F.xxhash64("doc_id", "source").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_of"), "stays"))
     doc_id, source = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
     told = flagged(docs.withColumn("_row", F.xxhash64(doc_id, source)), "_row", known, "_maybe")
     plain = told.where(~F.col("_maybe") | doc_id.isNull()).select(*docs.columns)
