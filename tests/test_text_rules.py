@@ -39,6 +39,33 @@ def test_excerpts(spark):
     assert [(*e, found[k]) for k, e in enumerate(EXCERPTS) if found[k] != e[2]] == []
 
 
+def test_excerpts_of_other_characters(spark):
+    """Pages that skip the normal form, and those that must not; words within words; short parts whose first match is far off."""
+    far = "amen " + "word " * 90
+    cases = [
+        ("NAÏVE café", "a naïve, CAFÉ", ("verified", 1, 1, "exact")),
+        ("cafe", "café cafeé", ("verified", 1, 1, "exact")),
+        ("m² plan", "60 m2 plan", ("verified", 1, 1, "exact")),
+        ("worship \u2026 am", far + "worship amen am", ("verified", 2, 2, "exact")),
+        ("worship \u2026 am", far + "worship xam amx", ("partial", 1, 2, "exact")),
+        ("worship \u2026 am", "am " + far + "worship, then am", ("verified", 2, 2, "exact")),
+        ("sunday school", "ﬁrst Sun\u00a0day school", ("verified", 1, 1, "loose")),
+        ("1 2 evening song", "evening 1 2eveningsong", ("verified", 1, 1, "loose")),
+        ("hymn 12 song", "hymn12songs and hymn 123song", ("verified", 1, 1, "loose")),
+    ]
+    rows = spark.createDataFrame([(k, e, p) for k, (e, p, _) in enumerate(cases)], "id int, excerpt string, page string")
+    found = {r["id"]: tuple(r["v"]) for r in excerpts.with_excerpt_verdict(rows, "excerpt", "page", "v").collect()}
+    assert [(*e, found[k]) for k, e in enumerate(cases) if found[k] != e[2]] == []
+
+
+def test_excerpt_work_is_written_once(spark):
+    """Within a lambda Spark shares no work: each expression that is written twice is computed twice (over 300 word lists a row before)."""
+    rows = spark.createDataFrame([("a", "b")], "excerpt string, page string")
+    plan = excerpts.with_excerpt_verdict(rows, "excerpt", "page", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 8
+    assert plan.count("regexp_instr(") <= 24
+
+
 @pytest.mark.parametrize(
     ("street", "key"),
     [

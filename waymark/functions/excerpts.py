@@ -6,6 +6,8 @@ its parts and in finer parts; each reading is an array of parts, and a fold over
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def squashed(words: Column) -> Column:
     return F.regexp_replace(words, r"(?<!\p{Nd}) | (?!\p{Nd})", "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: within a lambda Spark computes it anew at each place where it is written."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _whole(said: Column, inner: str) -> Column:
     """A pattern of words that may not go on with these characters at an end that is one of them; null without words."""
     left = F.when(said.rlike(f"^[{inner}]"), f"(?<![{inner}])").otherwise("")
@@ -44,58 +51,78 @@ def _whole(said: Column, inner: str) -> Column:
 
 def _uncut(said: Column) -> Column:
     """Words without a last and a first one of letters, which a limit on the length may have cut; three stay."""
-    words = F.split(said, " ")
-    ends = F.when((F.size(words) > 3) & F.element_at(words, -1).rlike(r"^\p{L}+$"), F.slice(words, 1, F.size(words) - 1)).otherwise(words)
-    both = F.when((F.size(ends) > 3) & ends[0].rlike(r"^\p{L}+$"), F.slice(ends, 2, F.size(ends) - 1)).otherwise(ends)
-    return F.array_join(both, " ")
+
+    def ends(words: Column) -> Column:
+        return F.when((F.size(words) > 3) & F.element_at(words, -1).rlike(r"^\p{L}+$"), F.slice(words, 1, F.size(words) - 1)).otherwise(words)
+
+    def both(words: Column) -> Column:
+        return F.when((F.size(words) > 3) & words[0].rlike(r"^\p{L}+$"), F.slice(words, 2, F.size(words) - 1)).otherwise(words)
+
+    return F.array_join(_once(_once(F.split(said, " "), ends), both), " ")
 
 
 def _split(parts: Column, joint: str) -> Column:
     return F.filter(F.transform(F.flatten(F.transform(parts, lambda p: F.split(p, joint))), lambda p: F.trim(p)), lambda p: p != "")
 
 
-def _first(text: Column, pattern: Column, after: Column) -> Column:
-    """The place (from 1) of the first match, within NEAR characters of a place unless that is null; null without any.
+def _place(plain: Column, part: Column) -> Column:
+    """The place (from 1) of a part's first match; null without any. The pattern is tried only where its words are, which is soon seen."""
+    return F.when(F.contains(plain, part["said"]), _once(F.regexp_instr(plain, part["pattern"]), lambda at: F.when(at > 0, at)))
+
+
+def _near(plain: Column, part: Column, after: Column) -> Column:
+    """The place of the first match within NEAR characters of a place, of a part whose first match at all is known.
 
     What stands before the looked-at part is told by one character: a capital, which no plain text has, if a word goes on there.
     """
     low = F.greatest(after - NEAR, F.lit(1))
-    lead = F.when((low > 1) & F.substring(text, low - 1, F.lit(1)).rlike("[A-Za-z0-9]"), "Z").otherwise("\n")
+    lead = F.when((low > 1) & F.substring(plain, low - 1, F.lit(1)).rlike("[A-Za-z0-9]"), "Z").otherwise("\n")
     # Beyond the last place at which a match may begin, as much follows as a part is long.
-    near = F.concat(lead, F.substring(text, low, after + NEAR - low + 1 + 2 * F.length(pattern)))
-    at = F.when(after.isNull(), F.regexp_instr(text, pattern)).otherwise(F.regexp_instr(near, pattern) - 2 + low)
-    found = F.when(after.isNull(), at > 0).otherwise((at >= low) & (at <= after + NEAR))
-    return F.when(found, at)
+    looked = F.concat(lead, F.substring(plain, low, after + NEAR - low + 1 + 2 * F.length(part["pattern"])))
+    later = _once(_once(looked, lambda near: _place(near, part)) - 2 + low, lambda at: F.when((at >= low) & (at <= after + NEAR), at))
+    return F.when(part["place"] >= low, F.when(part["place"] <= after + NEAR, part["place"])).otherwise(later)
 
 
-def _told(parts: Column, capped: Column) -> Column:
-    """What is looked for of each part: whole or uncut in the plain text, or in the dense one; and whether it is short."""
+def _told(parts: Column, capped: Column, plain: Column) -> Column:
+    """Of each part the form that is looked for, whole or uncut, and its first place in the plain text; whether it is short; its form in the dense text."""
     n = F.size(parts)
 
-    def told(part: Column, k: Column) -> Column:
-        said = spaced(part)
+    def form(said: Column) -> Column:
+        return F.struct(said.alias("said"), _whole(said, "A-Za-z0-9").alias("pattern"))
+
+    def placed(part: Column) -> Column:
+        return F.struct(part["said"].alias("said"), part["pattern"].alias("pattern"), _place(plain, part).alias("place"))
+
+    def told(part: Column, said: Column, k: Column) -> Column:
         single = F.size(_split(_split(F.array(part), _ROUGH), _FINE)) <= 1
-        return F.struct(
-            _whole(said, "A-Za-z0-9").alias("whole"), F.when(capped & ((k == 0) | (k == n - 1)), _whole(_uncut(said), "A-Za-z0-9")).alias("uncut"),
-            (F.length(F.replace(said, F.lit(" "))) < SHORT_PART).alias("short"), F.when(single, _whole(squashed(said), "0-9")).alias("dense"),
-        )
+        # Of a part that stands whole somewhere the uncut form isn't tried.
+        uncut = F.when(capped & ((k == 0) | (k == n - 1)), _once(_once(_uncut(said), form), placed))
+        found = _once(_once(_once(said, form), placed), lambda whole: F.when(whole["place"].isNull(), F.coalesce(uncut, whole)).otherwise(whole))
+        short = F.length(F.replace(said, F.lit(" "))) < SHORT_PART
+
+        def both(f: Column, short: Column) -> Column:
+            return F.struct(f["said"], f["pattern"], f["place"], short.alias("short"), F.when(f["place"].isNull() & ~short & single & (said != ""), said).alias("dense"))
+
+        return _once(found, lambda f: _once(short, lambda short: both(f, short)))
+
+    return F.transform(parts, lambda part, k: _once(spaced(part), lambda said: told(part, said, k)))
+
 
-    return F.transform(parts, told)
+def _unspaced(words: Column) -> Column:
+    return F.replace(words, F.lit(" "))
 
 
 def _found(parts: Column, plain: Column, dense: Column) -> Column:
-    """How many parts the page has, and how many of them exactly."""
+    """How many parts the page has, and how many of them exactly; dense is null if no part is there even without spaces."""
 
     def one(state: Column, part: Column) -> Column:
-        # A short part must stand near the one before; of one that stands whole somewhere, but not near, the uncut form isn't tried.
-        after = F.when(part["short"], state["place"])
-        anywhere = F.coalesce(F.regexp_like(plain, part["whole"]), F.lit(False))
-        at = F.when(anywhere, _first(plain, part["whole"], after)).otherwise(_first(plain, part["uncut"], after))
-        loose = at.isNull() & ~part["short"] & F.coalesce(F.regexp_like(dense, part["dense"]), F.lit(False))
-        return F.struct(
-            F.when(loose, None).otherwise(F.coalesce(at, state["place"])).cast("int").alias("place"),
-            (state["found"] + (at.isNotNull() | loose).cast("int")).alias("found"), (state["exact"] + at.isNotNull().cast("int")).alias("exact"),
-        )
+        # A short part must stand near the one before.
+        near = F.when(part["short"] & part["place"].isNotNull() & state["place"].isNotNull(), _near(plain, part, state["place"])).otherwise(part["place"])
+        loose = F.when(part["dense"].isNull() | dense.isNull(), False).otherwise(F.regexp_like(dense, _once(squashed(part["dense"]), lambda said: _whole(said, "0-9"))))
+        return _once(F.struct(near.alias("at"), loose.alias("loose")), lambda f: F.struct(
+            F.when(~f["loose"], F.coalesce(f["at"], state["place"])).cast("int").alias("place"),
+            (state["found"] + (f["at"].isNotNull() | f["loose"]).cast("int")).alias("found"), (state["exact"] + f["at"].isNotNull().cast("int")).alias("exact"),
+        ))
 
     return F.aggregate(parts, F.struct(F.lit(None).cast("int").alias("place"), F.lit(0).alias("found"), F.lit(0).alias("exact")), one)
 
@@ -110,14 +137,24 @@ def with_excerpt_verdict(df: DataFrame, excerpt: str, page: str, name: str = "ve
     partial and what has none not_found. Null texts count as empty.
     """
     quoted = F.coalesce(excerpt, F.lit(""))
-    rows = df.withColumns({"_quoted": normalized(F.translate(quoted, _KEPT, _AS)), "_page": normalized(F.coalesce(page, F.lit("")))})
-    rows = rows.withColumn("_plain", spaced(F.col("_page"))).withColumn("_dense", squashed(F.col("_plain")))
+    # The normal form changes no words of these characters alone.
+    other = (F.octet_length("_text") != F.char_length("_text")) & F.col("_text").rlike(r"[^\x00-\x7f\u00c0-\u00ff]")
+    rows = df.withColumns({"_text": F.coalesce(page, F.lit("")), "_excerpt": F.translate(quoted, _KEPT, _AS)})
+    rows = rows.withColumn("_other", F.when(other, F.col("_text")))
+    rows = rows.withColumns({"_quoted": normalized("_excerpt"), "_page": normalized("_other")})
+    rows = rows.withColumn("_plain", spaced(F.when(F.col("_other").isNull(), F.col("_text")).otherwise(F.col("_page"))))
     whole = F.array("_quoted")
     rows = rows.withColumn("_rough", _split(whole, _ROUGH)).withColumn("_fine", _split(F.col("_rough"), _FINE))
-    readings = [whole, *[F.when(F.size(p) > 0, F.col(p)).otherwise(whole) for p in ("_rough", "_fine")]]
-    rows = rows.withColumns({f"_r{k}": _told(p, F.length(quoted) >= CAPPED) for k, p in enumerate(readings)})
-    rows = rows.withColumns({f"_f{k}": _found(F.col(f"_r{k}"), F.col("_plain"), F.col("_dense")) for k in range(3)})
-    best = F.array_max(F.array(*[F.struct((F.col(f"_f{k}.found") / F.size(f"_r{k}")).alias("share"), F.lit(-k).alias("order"), F.col(f"_f{k}.found").alias("found"), F.col(f"_f{k}.exact").alias("exact"), F.size(f"_r{k}").alias("total")) for k in range(3)]))
+    # A reading that is as an earlier one, or has no parts and falls back to the whole, is left out: the earlier one is taken of equals.
+    readings = [whole, *[F.when((F.size(p) > 0) & (F.col(p) != before), F.col(p)) for p, before in (("_rough", whole), ("_fine", F.col("_rough")))]]
+    plain = F.col("_plain")
+    rows = rows.withColumns({f"_r{k}": _told(p, F.length(quoted) >= CAPPED, plain) for k, p in enumerate(readings)})
+    # The dense text is made only where a part stands without any spaces.
+    rows = rows.withColumn("_packed", _unspaced(plain))
+    run_together = [F.exists(f"_r{k}", lambda part: F.contains(F.col("_packed"), _unspaced(part["dense"]))) for k in range(3)]
+    rows = rows.withColumn("_dense", F.when(F.array_contains(F.array(*run_together), True), squashed(plain)))
+    rows = rows.withColumns({f"_f{k}": _found(F.col(f"_r{k}"), plain, F.col("_dense")) for k in range(3)})
+    best = F.array_max(F.array(*[F.when(F.col(f"_f{k}").isNotNull(), F.struct((F.col(f"_f{k}.found") / F.size(f"_r{k}")).alias("share"), F.lit(-k).alias("order"), F.col(f"_f{k}.found").alias("found"), F.col(f"_f{k}.exact").alias("exact"), F.size(f"_r{k}").alias("total"))) for k in range(3)]))
     rows = rows.withColumn("_best", best)
     b = lambda c: F.col(f"_best.{c}")
     verdict = F.when(b("found") == b("total"), "verified").when(quoted.rlike(ABOUT_A_PAGE), "not_an_excerpt").when(b("found") > 0, "partial").otherwise("not_found")
