@@ -97,3 +97,22 @@ def test_common_words_outlast_words_that_come_once():
         assert encoder.texts(texts) == [b"".join(encoder.encoded([t])[0] for t in texts)]
     assert [learned.count(w) for w in common] == [1] * 20
     assert len(encoder.met) + len(encoder.before) <= 2 * 400
+
+
+def test_words_are_kept_without_signs():
+    """A word beside other signs is no new one, and Latin texts of every kind are encoded as the tokenizer does."""
+    import random
+
+    from public_tokenizers import path
+    from waymark.llm.bpe import WordIds
+
+    encoder = WordIds(path("word_bpe_49k.json"))
+    encoder.texts(["Alpha, (alpha) ALPHA.\n\"alpha\" alpha's"])
+    assert set(encoder.met) == {"alpha", ",", "(", ")", ".", '"', "'s"}
+    r = random.Random(8)
+    signs = "aZéÀßÿŁıª²½ºµ×÷'’_-.,;<|>#¡ \t\n\r\x0b\x0c\x85\xa0\x00\x7f059" + "stredvml'"
+    texts = ["".join(r.choices(signs, k=r.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> it's 'S'T", "don't 'start' we'LL x''ll", "ĲǅŉſȺɏ", "İstanbul Σας"]
+    texts += ["".join(c + r.choice(["", " ", "a", "'s"]) for c in map(chr, range(0x250)) if not "\x1c" <= c <= "\x1f")]
+    right = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    found = encoder.texts(texts)
+    assert [t for t, a, b in zip(texts, found, right, strict=True) if a != b] == []

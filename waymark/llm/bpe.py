@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -100,7 +101,7 @@ class ChunkEncoder:
         if new := self.unknown(set().union(*filter(None, split))):
             self.learn(new)
         met = self.met
-        return [b"".join([met[c] for c in chunks]) if chunks is not None else self.encoded([t])[0] for t, chunks in zip(texts, split, strict=True)]
+        return [b"".join(map(met.__getitem__, chunks)) if chunks is not None else self.encoded([t])[0] for t, chunks in zip(texts, split, strict=True)]
 
 
 class WordIds(ChunkEncoder):
@@ -110,10 +111,17 @@ class WordIds(ChunkEncoder):
         super().__init__(path, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         by_case = self.split
         self.split = lambda chunk: by_case(chunk.lower())
+        # The same pattern for Latin texts, which Python's own engine applies sooner.
+        lower = sorted({chr(k).lower() for k in range(0x80, 0x250) if k != 0x130})
+        letters, numbers = ("".join(c for c in lower if unicodedata.category(c)[0] == kind) for kind in "LN")
+        self.parted = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{letters}]+|[0-9{numbers}]|[^\sa-z0-9{letters}{numbers}]+").findall
 
     def chunks(self, text: str) -> list[str]:
         # Beyond Latin, lower case may depend on the neighbours; the tokenizer sees to it.
-        return (text.lower() if text.isascii() or self.latin(text) else text).split()
+        if not (text.isascii() or self.latin(text)):
+            return text.split()
+        # Words are kept without the signs beside them, but for a tokenizer's own markers.
+        return text.lower().split() if "<|" in text else self.parted(text.lower())
 
     def is_word(self, chunk: str) -> bool:
         return chunk.isalpha() and chunk == chunk.lower()
