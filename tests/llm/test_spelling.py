@@ -121,3 +121,21 @@ def test_sql(spark, sf_dir):
     from waymark.llm.entries import ORACLES
 
     assert spark_rows(op11_spelling_variants(spark, sf_dir)) == sql_rows(connect(sf_dir), ORACLES["op11_spelling_variants"])
+
+
+def test_few_pairs_are_compared_letter_by_letter(monkeypatch):
+    """Words of the same letters share their vector; only those that share a half go to the letters, and none that is near is lost."""
+    r = random.Random(3)
+    words = sorted({"".join(r.sample("abcdefgh", 8)) for _ in range(400)} | {"".join(r.choices("abcdé", k=8)) for _ in range(400)})
+    shorter = sorted({w[:k] + w[k + 1 :] for w in words for k in (0, 3, 4, 7)})
+    compared, one_edit = [], spelling._one_edit
+    monkeypatch.setattr(spelling, "_one_edit", lambda a, b: compared.append(len(a)) or one_edit(a, b))
+    leaf = spelling._Leaf(words, [1] * len(words))
+    for queries in (words, shorter):
+        who, what = leaf.near(queries)
+        found = {(queries[i], words[k]) for i, k in zip(who.tolist(), what.tolist(), strict=True)}
+        if queries is words:
+            assert found == {(a, b) for a in words for b in words if a < b and sum(x != y for x, y in zip(a, b, strict=True)) == 1}
+        else:
+            assert found == {(a, b) for b in words for a in {b[:k] + b[k + 1 :] for k in range(len(b))} & set(shorter)}
+    assert sum(compared) < 40_000

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import map_rows, settle, tuned
+from waymark.llm.common import map_rows, powers, settle, tuned
 
 #: Code points of a word at least, its occurrences at least, and how many times as frequent its form must be.
 LENGTH, OCCURRENCES, TIMES = 7, 2, 10
@@ -175,6 +175,13 @@ def _letters(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1)
 
 
+def _halves(letters: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the first letters of each row, half of `size`, and one of as many last letters as the other half has."""
+    half = size // 2
+    values = letters.astype(np.uint64) + np.uint64(1)
+    return values[:, :half] @ powers(half + 1)[1:], values[:, letters.shape[1] - size + half :] @ powers(size - half + 1)[1:]
+
+
 def _one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which rows of letters become those of b, which are as long or longer by one, by exactly one edit."""
     if a.shape[1] == b.shape[1]:
@@ -191,18 +198,23 @@ class _Leaf:
         self.words, self.counts = words, np.array(counts, np.int64)
         self.entries, self.letters = vectors(words), _letters(words)
         self.tree = Tree(self.entries, SMALL)
+        self.halves: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def near(self, queries: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(query, entry) for all that are one edit apart; of two words of the same length, with the smaller as the query."""
-        q, less = vectors(queries), int(len(queries[0]) == len(self.words[0]))
+        q, letters, size = vectors(queries), _letters(queries), len(queries[0])
+        less = int(size == len(self.words[0]))
         who, leaf = self.tree.reach(q, 1, less)
         sizes = np.array([len(self.tree.members[k]) for k in leaf], int)
         who = np.repeat(who, sizes)
         what = np.concatenate([self.tree.members[k] for k in leaf]) if len(leaf) else who
-        apart = self.entries[what] - q[who]
-        fits = (np.maximum(apart, 0).sum(1) <= 1) & (np.maximum(-apart, 0).sum(1) <= less)
+        # One edit leaves the letters before the middle of the query or those after it; few others have one of both.
+        if size not in self.halves:
+            self.halves[size] = _halves(self.letters, size)
+        (head, tail), (other_head, other_tail) = _halves(letters, size), self.halves[size]
+        fits = (head[who] == other_head[what]) | (tail[who] == other_tail[what])
         who, what = who[fits], what[fits]
-        fits = _one_edit(_letters(queries)[who], self.letters[what])
+        fits = _one_edit(letters[who], self.letters[what])
         who, what = who[fits], what[fits]
         if less:
             fits = np.array([queries[i] < self.words[k] for i, k in zip(who.tolist(), what.tolist(), strict=True)], bool)
